@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tessera.llm.minhash_dedup import OP9_SQL, op9_minhash_dedup
 from tessera.llm.mixing import op8_mixing
+from tessera.llm.packing import op4_packing
+from tessera.llm.secrets import op10_secret_scans
 from tessera.llm.url_filters import OP5_SQL, op5_url_filters
 
-QUERIES = {f.__name__: f for f in (op5_url_filters, op6_exact_dedup, op8_mixing)}
-ORACLE_SQL = {"op5_url_filters": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op4_packing, op5_url_filters, op6_exact_dedup, op8_mixing, op9_minhash_dedup, op10_secret_scans)}
+ORACLE_SQL = {"op5_url_filters": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL}

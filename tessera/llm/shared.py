@@ -57,3 +57,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 def encoded(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; nulls as empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python process: tasks of one worker load a vocabulary once."""
+    import sys
+    import types
+
+    name = "_tessera_worker_cache"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
