@@ -5,13 +5,13 @@
 2. Equal sets form a class, whose smallest doc_id stands for it: exact copies never meet in a bucket.
 3. In every bucket each member meets the smallest one. Per document the partner with the most common bands is verified
    on full sets, and verified links are merged.
-4. Buckets whose members are then still in several components are searched completely: blocks of members are compared
-   by signature, pairs from different components whose estimate is at least MIN_ESTIMATE are verified, and all links are
-   merged again. Links inside a component can't change it, so no link between components is lost, and a group of m near
-   copies costs about m verifications.
+4. Buckets whose members are then still in several components are searched by signature: of the pairs of different
+   components whose estimate is at least MIN_ESTIMATE a maximum spanning forest is verified, and links are merged; first
+   in each document's largest bucket, then in all, until a round merges nothing.
+5. At last all pairs of different components that such a bucket still suggests are verified. Links inside a component
+   can't change it, so no link between components is lost, and a group of m near copies costs about m verifications.
 
-Blocks of one bucket are dealt over tasks, in pairs, so neither a task's memory nor a group's rows are bound to a
-bucket's size. Pairs are only emitted between components that the signatures suggest to merge.
+Blocks of one bucket are dealt over tasks, in pairs, so neither a task's memory nor its rows grow with a bucket.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ THRESHOLD = 75
 #: Estimates have a standard deviation of at most 0.038 at similarity 0.75; this is 4.7 of them below.
 MIN_ESTIMATE = 0.57
 #: Members of a bucket that are compared with each other at once.
-BLOCK = 2048
+BLOCK = 1024
+#: Up to so many pairs, their ids (16 bytes each) are broadcast to pick the texts; more are joined.
+FEW_PAIRS = 200_000
 
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 _PAIR = "a long, b long"
@@ -91,32 +93,63 @@ def _verifier(threshold: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Those of pairs (a, b) whose texts (doc_id, text) are linked, by their full sets. Each text travels once per pair."""
+    """Those of pairs (a, b), a materialised table, whose texts (doc_id, text) are linked, by their full sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = pairs.count() <= FEW_PAIRS
+    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(threshold), _PAIR)
 
 
-def _suggest(least: float):
-    """Of rows sorted by bucket and blocks, pairs from different components with a large enough estimate."""
-
-    def pairs(rows: dict[int, tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
-        ids = np.array(list(rows), np.int64)
+def _estimates(signatures: np.ndarray) -> np.ndarray:
+    """Equal slots of each two signatures."""
+    out = np.zeros((len(signatures), len(signatures)), np.uint8)
+    for i in range(len(signatures) - 1):
+        out[i, i + 1 :] = np.count_nonzero(signatures[i + 1 :] == signatures[i], axis=1)
+    return out + out.T
+
+
+def forest(estimates: np.ndarray, comps: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges between different components of a maximum spanning forest (Prim), of pairs with at least so many equal slots."""
+    n = len(comps)
+    same = {c: np.flatnonzero(comps == c) for c in np.unique(comps)}
+    inside, best, source = np.zeros(n, bool), np.zeros(n, np.int16), np.zeros(n, np.int64)
+    out: list[tuple[int, int]] = []
+    for _ in range(len(same)):
+        at = int(np.argmax(np.where(inside, -1, best)))
+        if best[at] >= least and best[at]:
+            out.append((int(source[at]), at))
+        for x in same[comps[at]]:  # the whole component is connected already
+            inside[x] = True
+            better = estimates[x] > best
+            best[better], source[better] = estimates[x][better], x
+    return out
+
+
+def _suggest(least: float, everything: bool):
+    """Of rows sorted by bucket and blocks, pairs from different components with a large enough estimate: a spanning forest of them, or all."""
+    slots = int(np.ceil(least * SLOTS))
+
+    def pairs(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+        if len({v[0] for v in rows.values()}) < 2:
+            return []
+        ids = list(rows)
         comps = np.array([v[0] for v in rows.values()], np.int64)
-        signatures = np.frombuffer(b"".join(v[1] for v in rows.values()), np.uint16).reshape(len(ids), SLOTS)
-        for i in range(len(ids) - 1):
-            other = i + 1 + np.flatnonzero(comps[i + 1 :] != comps[i])
-            if len(other):
-                hit = other[(signatures[other] == signatures[i]).mean(axis=1) >= least]
-                yield from ((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in hit)
+        estimates = _estimates(np.frombuffer(b"".join(v[1] for v in rows.values()), np.uint16).reshape(len(ids), SLOTS))
+        if everything:
+            found = np.argwhere(np.triu((estimates >= slots) & (comps[:, None] != comps[None, :]))).tolist()
+        else:
+            found = forest(estimates, comps, slots)
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, {}, []
 
-        def table() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
+        def made() -> pa.RecordBatch:
+            table = pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
             out.clear()
-            return made
+            return table
 
         for batch in batches:
             for key, i, j, doc_id, comp, signature in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "component", "signature")), strict=True):
@@ -124,24 +157,24 @@ def _suggest(least: float):
                     out.extend(pairs(rows))
                     at, rows = (key, i, j), {}
                     if len(out) > 100_000:
-                        yield table()
+                        yield made()
                 rows[doc_id] = (comp, signature)
         out.extend(pairs(rows))
-        yield table()
+        yield made()
 
     return run
 
 
-def _residual(multi: DataFrame, reps: DataFrame, label: DataFrame, block: int, least: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and may be linked."""
-    at = multi.join(label, multi["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+def _suggested(rows: DataFrame, reps: DataFrame, label: DataFrame, block: int, least: float, everything: bool) -> DataFrame:
+    """Pairs (a, b) of rows (key, doc_id, n) that share a bucket, lie in different components and may be linked."""
+    at = rows.join(label, rows["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = at.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     full = dealt.join(reps.select("doc_id", "signature"), "doc_id")
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_suggest(least), _PAIR).distinct()
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_suggest(least, everything), _PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, min_estimate: float = MIN_ESTIMATE) -> DataFrame:
@@ -170,10 +203,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BL
     first = materialise(first)
     links = materialise(verified(first, texts, threshold))
     label = materialise(connected_components(links, "a", "b"))
-    more = verified(_residual(multi, reps, label, block, min_estimate).join(first, ["a", "b"], "left_anti"), texts, threshold)
-    more = materialise(more)
-    if not more.isEmpty():
-        label = connected_components(links.union(more), "a", "b")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    home = multi.groupBy("doc_id").agg(F.max(F.struct("n", "key")).alias("top")).select("top.key", "doc_id", "top.n")
+    rows, everything = home, False
+    while True:
+        more = _suggested(rows, reps, label, block, min_estimate, everything).join(tried, ["a", "b"], "left_anti")
+        more = materialise(more)
+        found = materialise(verified(more, texts, threshold))
+        any_found = not found.isEmpty()
+        tried = tried.union(more)
+        if any_found:
+            links = links.union(found)
+            label = materialise(connected_components(links, "a", "b"))
+        if everything:
+            break
+        everything = rows is multi and not any_found
+        rows = multi
     joined = member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.union(alone).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
