@@ -1,6 +1,79 @@
+"""A training-data pipeline over documents: language ID, line dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+docs. Between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language_id, line_dedup, minhash_dedup, mixing, packing
+from tessera.llm.shared import materialise, shared_dir
+
+#: Rows that a filter decides on are broadcast up to so many (at most 24 bytes each), and joined by a shuffle beyond it.
+BROADCAST_ROWS = 200_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame, key: Column | None = None) -> DataFrame:
+    """docs without the rows whose doc_id (and key) is rejected."""
+    rejected = materialise(rejected.distinct())
+    few = rejected.count() <= BROADCAST_ROWS
+    side = (F.broadcast(rejected) if few else rejected).withColumnsRenamed({c: f"__pipeline_{c}" for c in rejected.columns})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__pipeline_doc_id"))
+    return docs.join(side, same & (key == F.col("__pipeline_text_key")) if key is not None else same, "left_anti")
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the others go."""
+    key = F.xxhash64("text")
+    judged = language_id.identify_documents(docs, key)
+    return _without(docs, judged.where("not accepted").select("doc_id", "text_key"), key)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that came earlier; n_chars, where docs has it, is the new text's."""
+    kept = line_dedup.dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; rows that share the doc_id that stays, stay."""
+    groups = minhash_dedup.near_duplicates(docs)
+    return _without(docs, groups.where("not kept").select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", keep_known_language),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", keep_one_of_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Likelihoods, schedules and retrieval have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -26,6 +26,8 @@ from tessera.llm.shared import table
 MAX_BLOCKS = 1 << 15
 #: Target weights where none are given: the count of a source to this power.
 TEMPERATURE = 0.5
+#: Columns that the operator makes; those of the same name in its input are replaced.
+_OWN = tuple(f"mix_{x}" for x in ("source_no", "block", "slot", "position", "rows", "first", "bin", "n", "before", "in", "rank"))
 #: Rows that a bin of a source has at most, on average.
 BIN_ROWS = 4096
 
@@ -82,14 +84,14 @@ def edf_schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> lis
 
 
 def mix_positions(docs: DataFrame, weights: Mapping[str | None, float] | None = None, max_blocks: int = MAX_BLOCKS, temperature: float = TEMPERATURE) -> DataFrame:
-    """docs with columns mix_source_no, mix_block, mix_slot, mix_position added (names of docs that clash are replaced).
+    """docs with columns mix_source_no, mix_block, mix_slot, mix_position added (columns of docs named mix_... are replaced).
 
     weights: target weight by source; where none are given, the source's count to the power temperature. A source without
     a weight follows when the weighted ones are used up. Inside a source the order is by a hash of doc_id, then doc_id,
     then the text's hash: repeated rows get a position each. A null source is a source, a null doc_id comes first in its
     bin. Positions are 0 to the number of rows - 1. An empty table gives an empty result.
     """
-    docs = docs.drop("mix_source_no", "mix_block", "mix_slot", "mix_position")
+    docs = docs.drop(*_OWN)
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     counts = {r["name"]: r["n"] for r in docs.groupBy(name.alias("name")).agg(F.count("*").alias("n")).collect()}
@@ -109,23 +111,23 @@ def mix_positions(docs: DataFrame, weights: Mapping[str | None, float] | None =
     slots = (
         listed.select("mix_slot", F.col("no").cast("int").alias("mix_source_no"))
         .withColumn("mix_block", (F.row_number().over(of) - 1).cast("long"))
-        .withColumn("rows", F.least(F.lit(size).cast("long"), F.get(left, F.col("mix_source_no")) - F.col("mix_block") * size))
-        .withColumn("first", F.sum("rows").over(Window.orderBy("mix_slot")) - F.col("rows"))
-        .select("mix_source_no", "mix_block", F.col("mix_slot").cast("long").alias("mix_slot"), "first")
+        .withColumn("mix_rows", F.least(F.lit(size).cast("long"), F.get(left, F.col("mix_source_no")) - F.col("mix_block") * size))
+        .withColumn("mix_first", F.sum("mix_rows").over(Window.orderBy("mix_slot")) - F.col("mix_rows"))
+        .select("mix_source_no", "mix_block", F.col("mix_slot").cast("long").alias("mix_slot"), "mix_first")
     )
 
     # Ranks inside a source: bins of its hash, then the rank inside the bin.
     bins = [max(1, -(-counts[s] // BIN_ROWS)) for s in names] or [1]
     numbers = F.create_map(*[F.lit(x) for s in names for x in (s, number[s])]) if names else F.create_map(F.lit(""), F.lit(0))
     key = F.xxhash64("doc_id")
-    rows = docs.withColumn("mix_source_no", F.element_at(numbers, name)).withColumn("_bin", F.pmod(key, F.get(F.array(*[F.lit(b) for b in bins]), F.col("mix_source_no"))))
-    offsets = rows.groupBy("mix_source_no", "_bin").agg(F.count("*").alias("_n"))
-    offsets = offsets.withColumn("_before", F.sum("_n").over(Window.partitionBy("mix_source_no").orderBy("_bin")) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy("mix_source_no", "_bin").orderBy(key, "doc_id", F.xxhash64("text") if "text" in docs.columns else F.lit(0))
-    ranked = rows.withColumn("_in", F.row_number().over(inside) - 1).join(offsets, ["mix_source_no", "_bin"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / size).cast("long"))
+    rows = docs.withColumn("mix_source_no", F.element_at(numbers, name)).withColumn("mix_bin", F.pmod(key, F.get(F.array(*[F.lit(b) for b in bins]), F.col("mix_source_no"))))
+    offsets = rows.groupBy("mix_source_no", "mix_bin").agg(F.count("*").alias("mix_n"))
+    offsets = offsets.withColumn("mix_before", F.sum("mix_n").over(Window.partitionBy("mix_source_no").orderBy("mix_bin")) - F.col("mix_n")).drop("mix_n")
+    inside = Window.partitionBy("mix_source_no", "mix_bin").orderBy(key, "doc_id", F.xxhash64("text") if "text" in docs.columns else F.lit(0))
+    ranked = rows.withColumn("mix_in", F.row_number().over(inside) - 1).join(offsets, ["mix_source_no", "mix_bin"]).withColumn("mix_rank", F.col("mix_before") + F.col("mix_in"))
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / size).cast("long"))
     placed = ranked.join(F.broadcast(slots), ["mix_source_no", "mix_block"])
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_source_no", "mix_block", "mix_slot", (F.col("first") + F.pmod("_rank", F.lit(size))).alias("mix_position"))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_source_no", "mix_block", "mix_slot", (F.col("mix_first") + F.pmod("mix_rank", F.lit(size))).alias("mix_position"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, max_blocks: int = MAX_BLOCKS, temperature: float = TEMPERATURE) -> DataFrame:

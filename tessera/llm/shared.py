@@ -66,3 +66,26 @@ def worker_cache() -> dict:
 
     name = "_tessera_worker_cache"
     return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for columns that only some readers need; drop_tables() removes it."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what written_table() has written in this session; results that were not read yet are lost with it."""
+    jvm = spark.sparkContext._jvm
+    for _, path in [x for x in _written if x[0] is spark]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written[:] = [x for x in _written if x[0] is not spark]
