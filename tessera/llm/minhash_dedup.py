@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.llm.components import chased, merged
 from tessera.llm.shared import encoded, materialise, pieces, table
 from tessera.llm.shingles import mix64, shingle_sets, super_minhash
 
@@ -201,23 +201,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BL
     best = multi.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("common"))
     first = best.groupBy("doc_id").agg(F.max(F.struct("common", (-F.col("pivot")).alias("p"))).alias("top")).select((-F.col("top.p")).alias("a"), F.col("doc_id").alias("b"))
     first = materialise(first)
-    links = materialise(verified(first, texts, threshold))
-    label = materialise(connected_components(links, "a", "b"))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Every document has one partner here, with a smaller id: the links are a forest.
+    label = chased(verified(first, texts, threshold).distinct().select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    tried = first
     home = multi.groupBy("doc_id").agg(F.max(F.struct("n", "key")).alias("top")).select("top.key", "doc_id", "top.n")
     rows, everything = home, False
     while True:
         more = _suggested(rows, reps, label, block, min_estimate, everything).join(tried, ["a", "b"], "left_anti")
         more = materialise(more)
-        found = materialise(verified(more, texts, threshold))
-        any_found = not found.isEmpty()
-        tried = tried.union(more)
-        if any_found:
-            links = links.union(found)
-            label = materialise(connected_components(links, "a", "b"))
+        merges = False
+        if not more.isEmpty():
+            found = materialise(verified(more, texts, threshold))
+            tried = tried.union(more)
+            merges = not found.isEmpty()
+            if merges:
+                label = merged(label, found, "a", "b")
         if everything:
             break
-        everything = rows is multi and not any_found
+        everything = rows is multi and not merges
         rows = multi
     joined = member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
