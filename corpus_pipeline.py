@@ -12,17 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, minhash_dedup, mixing, packing
-from tessera.llm.shared import materialise, shared_dir
-
-#: Rows that a filter decides on are broadcast up to so many (at most 24 bytes each), and joined by a shuffle beyond it.
-BROADCAST_ROWS = 200_000
+from tessera.llm.shared import shared_dir, sided
 
 
 def _without(docs: DataFrame, rejected: DataFrame, key: Column | None = None) -> DataFrame:
     """docs without the rows whose doc_id (and key) is rejected."""
-    rejected = materialise(rejected.distinct())
-    few = rejected.count() <= BROADCAST_ROWS
-    side = (F.broadcast(rejected) if few else rejected).withColumnsRenamed({c: f"__pipeline_{c}" for c in rejected.columns})
+    side = sided(rejected.distinct().withColumnsRenamed({c: f"__pipeline_{c}" for c in rejected.columns}))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__pipeline_doc_id"))
     return docs.join(side, same & (key == F.col("__pipeline_text_key")) if key is not None else same, "left_anti")
 

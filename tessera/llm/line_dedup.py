@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import encoded, pieces, table, written_table
+from tessera.llm.shared import encoded, materialise, pieces, sided, table, written_table
 from tessera.llm.shingles import _power_table, mix64
 
 #: Shorter lines are only compared exactly.
@@ -148,37 +148,48 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
 
 
-def _near(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+def _repeated(lines: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line of exact repetitions. Counting takes numbers only; order inside one document is looked at where it matters."""
+    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    groups = lines.groupBy("a", "b").agg(F.min(doc).alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    met = lines.join(groups.select("a", "b", "first_doc"), ["a", "b"]).select("a", "b", "doc_id", "text_hash", "line", (doc > F.col("first_doc")).alias("later"))
+    own = met.where("not later")
+    first = own.groupBy("a", "b").agg(F.min(_place()).alias("at"))
+    again = own.join(first, ["a", "b"]).where(_place() > F.col("at"))
+    return met.where("later").select("doc_id", "text_hash", "line").union(again.select("doc_id", "text_hash", "line"))
+
+
+def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, text_hash, line of first occurrences that have an earlier line at distance 1."""
     halves = lines.select("a", F.explode("halves").alias("key"))
     shared = halves.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key")
-    hopeful = halves.join(shared, "key", "left_semi").select("a").distinct()
-    wanted = first.join(hopeful, "a", "left_semi").groupBy("at.doc_id", "at.text_hash").agg(F.collect_list("at.line").alias("wanted"))
-
-    met = docs.join(wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "wanted"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("text_hash") == F.col("h")))
-    near = written_table(met.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_neighbours, _NEIGHBOURS), "neighbourhoods")
-
-    place = _place().alias("at")
-    keys = near.select(place, F.posexplode("variants").alias("position", "key")).union(near.select(place, F.lit(-1), "whole"))
+    hopeful = sided(halves.join(sided(shared), "key", "left_semi").select("a").distinct())
+    first = lines.join(hopeful, "a", "left_semi").groupBy("a", "b").agg(F.min(_place()).alias("at"))
+    wanted = first.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list("at.line").alias("wanted"))
+    wanted = sided(wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "wanted"))
+    met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    near = met.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_neighbours, _NEIGHBOURS)
+    # Numbered in order: ids of later lines are larger.
+    place = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"), F.col("line")]
+    near = written_table(near.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("id", F.monotonically_increasing_id()), "neighbourhoods")
+
+    keys = near.select("id", F.posexplode("variants").alias("position", "key")).union(near.select("id", F.lit(-1), "whole"))
     # Earliest by key and position. Position -1 is the line itself: it meets the variants of longer lines at any position.
-    least = keys.groupBy("key", "position").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    least = materialise(keys.groupBy("key", "position").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     replaced = least.where("position >= 0 and first < last").select("key", "position", "first")
-    by_replacing = keys.join(replaced, ["key", "position"]).where("first < at").select("at", "first")
+    by_replacing = keys.join(sided(replaced), ["key", "position"]).where("first < id").select("id", "first")
     either = least.groupBy("key").agg(F.min(F.when(F.col("position") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("position") >= 0, F.col("first"))).alias("part")).where("whole is not null and part is not null")
-    by_deleting = keys.join(either, "key").select("at", F.when(F.col("position") < 0, F.col("part")).otherwise(F.col("whole")).alias("first")).where("first < at")
+    by_deleting = keys.join(sided(either), "key").select("id", F.when(F.col("position") < 0, F.col("part")).otherwise(F.col("whole")).alias("first")).where("first < id")
     matches = by_replacing.union(by_deleting).distinct()
-    words = near.select(place, "words").dropDuplicates(["at"])
-    pairs = matches.join(words, "at").join(words.select(F.col("at").alias("first"), F.col("words").alias("other")), "first")
-    return pairs.select("at.doc_id", "at.text_hash", "at.line", "words", "other").mapInArrow(_verify, "doc_id long, text_hash long, line int")
+    words = near.select(F.col("id").alias("first"), F.col("words").alias("other"))
+    pairs = matches.join(near.select("id", "doc_id", "text_hash", "line", "words"), "id").join(words, "first")
+    return pairs.select("doc_id", "text_hash", "line", "words", "other").mapInArrow(_verify, "doc_id long, text_hash long, line int")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line (from 0) of every line that is dropped; docs has doc_id, text and text_hash."""
     lines = written_table(docs.select("doc_id", "text_hash", "text").mapInArrow(_describe, _LINES), "lines")
-    first = lines.groupBy("a", "b").agg(F.min(_place()).alias("at"), F.max(_place()).alias("last"))
-    repeated = first.where("at < last").select("a", "b", "at")
-    again = lines.join(repeated, ["a", "b"]).where(_place() > F.col("at")).select("doc_id", "text_hash", "line")
-    return again.union(_near(docs, lines, first.select("a", "at"))).distinct()
+    return _repeated(lines).union(_near(docs, lines)).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker turns into arrays at once; NumPy's temporaries are a small multiple of it.
-PIECE_BYTES = 1 << 21
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+from tessera.lineage import materialise, shared_dir
 
+__all__ = ["drop_tables", "encoded", "materialise", "pieces", "shared_dir", "sided", "table", "text_or_empty", "worker_cache", "written_table"]
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage: the rows lie in the shared folder, so that a lost executor loses none."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of numbers that are broadcast at most.
+BROADCAST_ROWS = 200_000
+#: Bytes of text that a Python worker turns into arrays at once; NumPy's temporaries are a small multiple of it.
+PIECE_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,3 +77,9 @@ def drop_tables(spark: SparkSession) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     _written[:] = [x for x in _written if x[0] is not spark]
+
+
+def sided(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, computed once, as the small side of a join: broadcast if it has at most so many rows, else joined by a shuffle. For narrow rows only."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= rows else df
