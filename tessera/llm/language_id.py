@@ -77,7 +77,11 @@ def fit_text(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> TextModel:
     """rows: text, declared. Languages are those that at least MIN_DECLARED rows declare."""
     named = rows.where("declared is not null and declared <> '' and text is not null and text <> ''")
     known = sorted(r["declared"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DECLARED).collect())
-    parts = [named.where(F.col("declared") == x).select("declared", "text", F.xxhash64("text").alias("h")).orderBy("h").limit(train_docs) for x in known]
+    hashed = named.select("declared", "text", F.xxhash64("text").alias("h"))
+    sample = None
+    for x in known:
+        part = hashed.where(F.col("declared") == x).select("declared", "h").distinct().orderBy("h").limit(train_docs)
+        sample = part if sample is None else sample.union(part)
     width = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +94,9 @@ def fit_text(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> TextModel:
         yield pa.RecordBatch.from_pydict({"declared": pa.array(list(total), pa.string()), "counts": pa.array([c.astype("<i8").tobytes() for c in total.values()], pa.binary())})
 
     counts = {x: np.zeros(width) for x in known}
-    for part in parts:  # one small aggregate per language
-        for r in part.mapInArrow(count, "declared string, counts binary").collect():
+    if sample is not None:  # texts of the sample, each once: at most train_docs per language, in one task
+        texts = hashed.join(F.broadcast(sample), ["declared", "h"]).groupBy("declared", "h").agg(F.first("text").alias("text"))
+        for r in texts.coalesce(1).mapInArrow(count, "declared string, counts binary").collect():
             counts[r["declared"]] += np.frombuffer(bytes(r["counts"]), "<i8")
     columns = [np.log((counts[x] + TRIGRAM_COUNT) / (counts[x] + TRIGRAM_COUNT).sum()) for x in known]
     return TextModel([*known, UNKNOWN], np.stack([*columns, np.full(width, -np.log(width))], axis=1).astype(np.float32))
