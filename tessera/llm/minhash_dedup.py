@@ -5,13 +5,14 @@
 2. Equal sets form a class, whose smallest doc_id stands for it: exact copies never meet in a bucket.
 3. In every bucket each member meets the smallest one. Per document the partner with the most common bands is verified
    on full sets, and verified links are merged.
-4. Buckets whose members are then still in several components are searched by signature: of the pairs of different
-   components whose estimate is at least MIN_ESTIMATE a maximum spanning forest is verified, and links are merged; first
-   in each document's largest bucket, then in all, until a round merges nothing.
-5. At last all pairs of different components that such a bucket still suggests are verified. Links inside a component
-   can't change it, so no link between components is lost, and a group of m near copies costs about m verifications.
-
-Blocks of one bucket are dealt over tasks, in pairs, so neither a task's memory nor its rows grow with a bucket.
+4. Buckets whose members are then still in several components are looked at by signature: a maximum spanning forest
+   over the pairs of different components whose estimate is at least MIN_ESTIMATE joins such components to families.
+5. Inside a family every pair of different components with such an estimate is verified on full sets, the likeliest
+   first, unless links found before connect it. Links inside a component can't change it, so no link between components
+   is lost, and what leaves a task is at most one link per merge.
+
+Members of a bucket or family are cut into blocks, and pairs of blocks are dealt over tasks, so neither a task's memory
+nor its rows grow with a group.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.components import chased, merged
+from tessera.llm.components import chased, connected_components, merged
 from tessera.llm.shared import encoded, materialise, pieces, table
 from tessera.llm.shingles import mix64, shingle_sets, super_minhash
 
@@ -33,7 +34,7 @@ THRESHOLD = 75
 #: Estimates have a standard deviation of at most 0.038 at similarity 0.75; this is 4.7 of them below.
 MIN_ESTIMATE = 0.57
 #: Members of a bucket that are compared with each other at once.
-BLOCK = 1024
+BLOCK = 512
 #: Up to so many pairs, their ids (16 bytes each) are broadcast to pick the texts; more are joined.
 FEW_PAIRS = 200_000
 
@@ -127,54 +128,104 @@ def forest(estimates: np.ndarray, comps: np.ndarray, least: int) -> list[tuple[i
     return out
 
 
-def _suggest(least: float, everything: bool):
-    """Of rows sorted by bucket and blocks, pairs from different components with a large enough estimate: a spanning forest of them, or all."""
+class _Groups:
+    """Rows of sorted batches, gathered by (key, i, j); each group has at most two blocks of documents."""
+
+    def __init__(self, columns: tuple[str, ...]) -> None:
+        self.columns = columns
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple]]:
+        at, rows = None, {}
+        for batch in batches:
+            for key, i, j, doc_id, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", *self.columns)), strict=True):
+                if at != (key, i, j):
+                    if len(rows) > 1:
+                        yield rows
+                    at, rows = (key, i, j), {}
+                rows[doc_id] = tuple(rest)
+        if len(rows) > 1:
+            yield rows
+
+
+def _compared(rows: dict[int, tuple]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ids, components and equal slots of a group's rows (component, signature, ...)."""
+    comps = np.array([v[0] for v in rows.values()], np.int64)
+    return list(rows), comps, _estimates(np.frombuffer(b"".join(v[1] for v in rows.values()), np.uint16).reshape(len(rows), SLOTS))
+
+
+def _pairs(groups: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    for out in groups:
+        if out:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+
+def _suggest(least: float):
     slots = int(np.ceil(least * SLOTS))
 
-    def pairs(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+    def pairs(rows: dict[int, tuple]) -> list[tuple[int, int]]:
         if len({v[0] for v in rows.values()}) < 2:
             return []
-        ids = list(rows)
-        comps = np.array([v[0] for v in rows.values()], np.int64)
-        estimates = _estimates(np.frombuffer(b"".join(v[1] for v in rows.values()), np.uint16).reshape(len(ids), SLOTS))
-        if everything:
-            found = np.argwhere(np.triu((estimates >= slots) & (comps[:, None] != comps[None, :]))).tolist()
-        else:
-            found = forest(estimates, comps, slots)
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
+        ids, comps, estimates = _compared(rows)
+        return [(ids[i], ids[j]) for i, j in forest(estimates, comps, slots)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, out = None, {}, []
+    return lambda batches: _pairs(map(pairs, _Groups(("component", "signature"))(batches)))
 
-        def made() -> pa.RecordBatch:
-            table = pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-            out.clear()
-            return table
 
-        for batch in batches:
-            for key, i, j, doc_id, comp, signature in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "component", "signature")), strict=True):
-                if at != (key, i, j):
-                    out.extend(pairs(rows))
-                    at, rows = (key, i, j), {}
-                    if len(out) > 100_000:
-                        yield made()
-                rows[doc_id] = (comp, signature)
-        out.extend(pairs(rows))
-        yield made()
+def _search(least: float, threshold: int):
+    slots = int(np.ceil(least * SLOTS))
 
-    return run
+    def pairs(rows: dict[int, tuple]) -> list[tuple[int, int]]:
+        ids, comps, estimates = _compared(rows)
+        texts, sets, root, out = [v[2] for v in rows.values()], {}, {}, []
 
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
 
-def _suggested(rows: DataFrame, reps: DataFrame, label: DataFrame, block: int, least: float, everything: bool) -> DataFrame:
-    """Pairs (a, b) of rows (key, doc_id, n) that share a bucket, lie in different components and may be linked."""
-    at = rows.join(label, rows["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets([(texts[i] or "").encode()])[0]
+            return sets[i]
+
+        found = np.argwhere(np.triu((estimates >= slots) & (comps[:, None] != comps[None, :])))
+        found = found[np.argsort(-estimates[found[:, 0], found[:, 1]].astype(np.int16), kind="stable")]
+        for i, j in found.tolist():  # the likeliest first: most pairs are connected before their turn
+            a, b = find(int(comps[i])), find(int(comps[j]))
+            if a != b and linked(of(i), of(j), threshold):
+                root[a] = b
+                out.append((ids[i], ids[j]))
+        return out
+
+    return lambda batches: _pairs(map(pairs, _Groups(("component", "signature", "text"))(batches)))
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """members (key, doc_id, n, ...) as rows of pairs of blocks (i, j) of their key, which has n members."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = at.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(reps.select("doc_id", "signature"), "doc_id")
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_suggest(least, everything), _PAIR).distinct()
+    cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "blocks", "own", "other")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _residual_links(multi: DataFrame, reps: DataFrame, label: DataFrame, texts: DataFrame, threshold: int, block: int, least: float) -> DataFrame:
+    """Links (a, b) between different components; multi has a row (key, doc_id, n) per member of a bucket of n."""
+    at = multi.join(label, multi["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    at = materialise(at.join(mixed, "key", "left_semi"))
+    signature = reps.select("doc_id", "signature")
+    suggested = _together(_dealt(at, block).join(signature, "doc_id")).mapInArrow(_suggest(least), _PAIR).distinct()
+    member = at.select("doc_id", "component").distinct()
+    ends = suggested.join(member.withColumnsRenamed({"doc_id": "a", "component": "src"}), "a").join(member.withColumnsRenamed({"doc_id": "b", "component": "dst"}), "b")
+    family = materialise(connected_components(ends.select("src", "dst")))
+    inside = member.join(family.select(F.col("node").alias("component"), F.col("component").alias("key")), "component")
+    inside = materialise(inside)
+    sized = inside.join(inside.groupBy("key").agg(F.count("*").alias("n")), "key")
+    rows = _dealt(sized, block).join(signature, "doc_id").join(texts, "doc_id")
+    return _together(rows).mapInArrow(_search(least, threshold), _PAIR)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, min_estimate: float = MIN_ESTIMATE) -> DataFrame:
@@ -203,23 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BL
     first = materialise(first)
     # Every document has one partner here, with a smaller id: the links are a forest.
     label = chased(verified(first, texts, threshold).distinct().select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    tried = first
-    home = multi.groupBy("doc_id").agg(F.max(F.struct("n", "key")).alias("top")).select("top.key", "doc_id", "top.n")
-    rows, everything = home, False
-    while True:
-        more = _suggested(rows, reps, label, block, min_estimate, everything).join(tried, ["a", "b"], "left_anti")
-        more = materialise(more)
-        merges = False
-        if not more.isEmpty():
-            found = materialise(verified(more, texts, threshold))
-            tried = tried.union(more)
-            merges = not found.isEmpty()
-            if merges:
-                label = merged(label, found, "a", "b")
-        if everything:
-            break
-        everything = rows is multi and not merges
-        rows = multi
+    label = merged(label, _residual_links(multi, reps, label, texts, threshold, block, min_estimate), "a", "b")
     joined = member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.union(alone).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
