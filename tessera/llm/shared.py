@@ -15,7 +15,7 @@ __all__ = ["drop_tables", "encoded", "materialise", "pieces", "shared_dir", "sid
 #: Rows of numbers that are broadcast at most.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python worker turns into arrays at once; NumPy's temporaries are a small multiple of it.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
