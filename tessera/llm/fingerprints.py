@@ -7,7 +7,7 @@ sample. Two documents agree in a sample with a probability equal to their genera
 (sum of minima over sum of maxima of the weights), so the share of equal samples estimates it.
 
 A text is split where it lies: rows are partitioned by document once, and counting words and taking minima need no
-further shuffle. A minimum is of one long, ln a in the upper half and the sampled word's hash in the lower, so it is
+further shuffle. A document and its edited text are sampled together: a word of both gets its r, c and b once. A minimum is of one long, ln a in the upper half and the sampled word's hash in the lower, so it is
 a fixed-width aggregate.
 """
 
@@ -29,24 +29,36 @@ def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(0xFFFFFF) + 0.5) * (1.0 / (1 << 24))
 
 
-def sample(term: Column, log_weight: Column, number: int) -> Column:
-    """ln a (31 bits, order kept) and the hash of the sampled pair (term, t) in one long."""
+def samples_of(term: Column, log_weights: list[Column], number: int) -> list[Column]:
+    """For each weight of a term ln a (31 bits, order kept) and the hash of the sampled pair (term, t) in one long; null without weight.
+
+    r, c and b are the same expressions for all weights, so they are evaluated once.
+    """
     one, two = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
     r = -F.log(_uniform(one, 40) * _uniform(one, 16))
     log_c = F.log(-F.log(_uniform(two, 40) * _uniform(two, 16)))
     b = (two.bitwiseAND(0xFFFF) + 0.5) * (1.0 / (1 << 16))
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b) - r
-    rank = F.least(F.greatest(((log_a + 96) * (1 << 24)).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
-    return F.shiftleft(rank, 32).bitwiseOR(F.hash(term, t, F.lit(number)).cast("long").bitwiseAND(0xFFFFFFFF))
+    out = []
+    for log_weight in log_weights:
+        t = F.floor(log_weight / r + b)
+        log_a = log_c - r * (t - b) - r
+        rank = F.least(F.greatest(((log_a + 96) * (1 << 24)).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
+        out.append(F.shiftleft(rank, 32).bitwiseOR(F.hash(term, t, F.lit(number)).cast("long").bitwiseAND(0xFFFFFFFF)))
+    return out
 
 
-def signatures(rows: DataFrame, key: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """key, fingerprint (array of ints) of each row's text; texts without words have none. rows is partitioned by (a part of) key."""
-    words = rows.select(*key, F.explode(F.split(text, _WHITE)).alias("word")).where("word <> ''")
-    weighted = words.groupBy(*key, F.xxhash64("word").alias("term")).agg(F.count("*").alias("w"))
-    least = weighted.groupBy(*key).agg(*[F.min(sample(F.col("term"), F.log("w"), d)).alias(f"m{d}") for d in range(samples)])
-    return least.select(*key, F.array(*[F.col(f"m{d}").bitwiseAND(0xFFFFFFFF) for d in range(samples)]).alias("fingerprint"))
+def signatures(rows: DataFrame, key: str, texts: list[str], samples: int = SAMPLES) -> DataFrame:
+    """key and, for each column of texts, an array of 32-bit samples of the same name, null for a text without words.
+
+    rows is partitioned by key, which is unique. Texts without words only give no row.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(t).alias("t")) for i, t in enumerate(texts)]))
+    words = rows.select(key, sides.alias("s")).select(key, "s.side", F.explode(F.split("s.t", _WHITE)).alias("word")).where("word <> ''")
+    weighted = words.groupBy(key, F.xxhash64("word").alias("term")).agg(*[F.count_if(F.col("side") == i).alias(f"w{i}") for i in range(len(texts))])
+    logs = [F.log(f"w{i}") for i in range(len(texts))]
+    least = weighted.groupBy(key).agg(*[F.min(c).alias(f"m{d}_{i}") for d in range(samples) for i, c in enumerate(samples_of(F.col("term"), logs, d))])
+    made = [F.when(F.col(f"m0_{i}").isNotNull(), F.array(*[F.col(f"m{d}_{i}").bitwiseAND(0xFFFFFFFF) for d in range(samples)])).alias(t) for i, t in enumerate(texts)]
+    return least.select(key, *made)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,22 +94,21 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     The edited text has the last half of its code points, rounded down, replaced by as many (or all) of the next document
     by descending doc_id. Null texts are empty; an empty text, or one of white space, has an empty fingerprint, which is
-    like another empty one only. Of rows with one doc_id the greatest text counts; a null doc_id is the last document. A
+    like another empty one only. Of rows with one doc_id one text, that of the greatest hash, counts; a null doc_id is the last document. A
     single document follows itself. Texts are read whole. Other columns are ignored; an empty table gives an empty result.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long"))
-    own = docs.select(key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.groupBy("doc_id").agg(F.max("text").alias("text"))
-    order = materialise(following(own.select("doc_id", F.length("text").cast("long").alias("n"))))
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # The rows that count are chosen by their texts' hashes: the order of ids needs no texts, and texts are shuffled once.
+    chosen = rows.groupBy("doc_id").agg(F.max(F.struct("h", F.length("text").alias("n"))).alias("top")).select("doc_id", F.col("top.n").cast("long").alias("n"))
+    order = materialise(following(chosen))
+    own = rows.groupBy("doc_id").agg(F.max_by("text", "h").alias("text"))
     given = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), (F.col("n") / 2).cast("int").alias("k"))
     heads = own.join(given, "doc_id").select(F.col("to").alias("doc_id"), F.expr("substring(text, 1, k)").alias("head"))
     both = own.join(heads, "doc_id").withColumn("n", F.length("text"))
-    both = both.select("doc_id", "text", F.expr("concat(substring(text, 1, n - n div 2), head)").alias("edited"), "n")
-    sides = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"))
-    prints = signatures(sides.select("doc_id", "n_chars", "edited_sha256", "s.side", "s.t"), ["doc_id", "side"], "t", samples)
-    paired = prints.groupBy("doc_id").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("b"))
-    facts = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    known = materialise(facts.join(paired, "doc_id", "left"))
+    both = both.select("doc_id", F.col("text").alias("a"), F.expr("concat(substring(text, 1, n - n div 2), head)").alias("b"), "n")
+    facts = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("b").cast("binary"), 256).alias("edited_sha256"))
+    known = materialise(facts.join(signatures(both, "doc_id", ["a", "b"], samples), "doc_id", "left"))
     next_print = known.select(F.col("doc_id").alias("next_id"), F.col("a").alias("c"))
     joined = known.join(order.select("doc_id", "next_id"), "doc_id").join(next_print, "next_id")
     return joined.select(F.nullif("doc_id", F.lit(_NO_ID).cast("long")).alias("doc_id"), "n_chars", "edited_sha256", written(F.col("a")).alias("fingerprint"), written(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
