@@ -26,6 +26,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def _release() -> None:
+    """Gives memory that isn't used any more back to the machine: workers live on between stages, beside a JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of each piece have about PIECE_BYTES, or are a single row."""
     for batch in batches:
@@ -40,6 +51,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+        del texts, batch
+        _release()
 
 
 def encoded(column: pa.Array) -> list[bytes]:
