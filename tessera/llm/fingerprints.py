@@ -43,7 +43,8 @@ def samples_of(term: Column, log_weights: list[Column], number: int) -> list[Col
         t = F.floor(log_weight / r + b)
         log_a = log_c - r * (t - b) - r
         rank = F.least(F.greatest(((log_a + 96) * (1 << 24)).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
-        out.append(F.shiftleft(rank, 32).bitwiseOR(F.hash(term, t, F.lit(number)).cast("long").bitwiseAND(0xFFFFFFFF)))
+        packed = F.shiftleft(rank, 32).bitwiseOR(F.hash(term, t, F.lit(number)).cast("long").bitwiseAND(0xFFFFFFFF))
+        out.append(F.when(log_weight.isNotNull(), packed))  # least and greatest skip nulls
     return out
 
 
