@@ -206,7 +206,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = dropped_lines(hashed).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("__line_dedup_gone"))
     gone = gone.select(F.col("doc_id").alias("__line_dedup_d"), F.col("text_hash").alias("__line_dedup_h"), "__line_dedup_gone")
     met = docs.withColumn("__line_dedup_key", F.xxhash64("text")).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__line_dedup_d")) & (F.col("__line_dedup_key") == F.col("__line_dedup_h")), "left")
-    lines = F.split("text", "\n", -1)
+    met = met.withColumn("__line_dedup_lines", F.split("text", "\n", -1))  # a column of its own: a text is split once
+    lines = F.col("__line_dedup_lines")
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__line_dedup_gone"), lambda i: F.get(lines, i))
     text = F.when(F.col("__line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
