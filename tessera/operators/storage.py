@@ -42,15 +42,16 @@ def packable(key: Column, size: Column, limit: int = SMALL_OBJECT) -> Column:
     return small & ~key.isin(*UNPACKED_KEYS) & ~key.startswith("index/lock") & (size <= limit)
 
 
-def running_total(rows: DataFrame, order: list[str], size: str, into: str, shards: int = 64) -> DataFrame:
+def running_total(rows: DataFrame, order: list[str], size: str, into: str) -> DataFrame:
     """rows with the sum of size up to and including each row in a total order.
 
-    The order is cut into ranges; each range sums inside, and the ranges' totals, one row each, are summed globally. The
+    The order is cut into as many ranges as the session has shuffle partitions; each range sums inside, and the ranges'
+    totals, one row each, are summed globally. The
     ranges are fixed by one materialised pass, so no task sees more than its range.
     """
     from tessera.lineage import materialise
 
-    ranged = materialise(rows.repartitionByRange(shards, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = ranged.groupBy("_part").agg(F.sum(size).alias("_total"))
     before = totals.select(F.col("_part").alias("_p"), (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_before"))
@@ -74,9 +75,9 @@ def sizes_by_prefix(objects: DataFrame, key: str = "key", size: str = "size") ->
     return objects.groupBy(F.substring_index(key, "/", 1).alias("prefix")).agg(F.count("*").alias("objects"), F.sum(size).cast("long").alias("bytes"))
 
 
-def fixed_packs(objects: DataFrame, order: list[str], size: str = "size", pack_size: int = PACK_SIZE, shards: int = 64) -> DataFrame:
+def fixed_packs(objects: DataFrame, order: list[str], size: str = "size", pack_size: int = PACK_SIZE) -> DataFrame:
     """objects with pack and offset: a pack is what begins in one stretch of pack_size bytes of the total order."""
-    summed = running_total(objects, order, size, "_end", shards).withColumn("_begin", F.col("_end") - F.col(size))
+    summed = running_total(objects, order, size, "_end").withColumn("_begin", F.col("_end") - F.col(size))
     packed = summed.withColumn("pack", F.floor(F.col("_begin") / pack_size).cast("long"))
     inside = Window.partitionBy("pack")
     return packed.withColumn("offset", (F.col("_begin") - F.min("_begin").over(inside)).cast("long")).drop("_end", "_begin")
