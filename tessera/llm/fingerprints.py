@@ -7,7 +7,7 @@ sample. Two documents agree in a sample with a probability equal to their genera
 (sum of minima over sum of maxima of the weights), so the share of equal samples estimates it.
 
 A text is split where it lies: rows are partitioned by document once, and counting words and taking minima need no
-further shuffle. A document and its edited text are sampled together: a word of both gets its r, c and b once. A minimum is of one long, ln a in the upper half and the sampled word's hash in the lower, so it is
+further shuffle. A word with one weight in a document and its edited text is sampled once. A minimum is of one long, ln a in the upper half and the sampled word's hash in the lower, so it is
 a fixed-width aggregate.
 """
 
@@ -24,42 +24,46 @@ SAMPLES = 48
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """24 bits of a hash as a number between 0 and 1, both excluded."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(0xFFFFFF) + 0.5) * (1.0 / (1 << 24))
+def _uniform(h: Column, shift: int, bits: int) -> Column:
+    """So many bits of a hash as a number between 0 and 1, both excluded."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1) + 0.5) * (1.0 / (1 << bits))
 
 
-def samples_of(term: Column, log_weights: list[Column], number: int) -> list[Column]:
-    """For each weight of a term ln a (31 bits, order kept) and the hash of the sampled pair (term, t) in one long; null without weight.
-
-    r, c and b are the same expressions for all weights, so they are evaluated once.
-    """
-    one, two = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
-    r = -F.log(_uniform(one, 40) * _uniform(one, 16))
-    log_c = F.log(-F.log(_uniform(two, 40) * _uniform(two, 16)))
-    b = (two.bitwiseAND(0xFFFF) + 0.5) * (1.0 / (1 << 16))
-    out = []
-    for log_weight in log_weights:
-        t = F.floor(log_weight / r + b)
-        log_a = log_c - r * (t - b) - r
-        rank = F.least(F.greatest(((log_a + 96) * (1 << 24)).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
-        packed = F.shiftleft(rank, 32).bitwiseOR(F.hash(term, t, F.lit(number)).cast("long").bitwiseAND(0xFFFFFFFF))
-        out.append(F.when(log_weight.isNotNull(), packed))  # least and greatest skip nulls
-    return out
+def sample(term: Column, log_weight: Column, number: int) -> Column:
+    """ln a (31 bits, order kept) and the hash of the sampled pair (term, t) in one long. One hash gives r and c, each from two uniform numbers, and b."""
+    h = F.xxhash64(term, F.lit(number))
+    r = -F.log(_uniform(h, 53, 11) * _uniform(h, 42, 11))
+    log_c = F.log(-F.log(_uniform(h, 29, 13) * _uniform(h, 16, 13)))
+    b = _uniform(h, 0, 16)
+    t = F.floor(log_weight / r + b)
+    log_a = log_c - r * (t - b) - r
+    rank = F.least(F.greatest(((log_a + 96) * (1 << 24)).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
+    return F.shiftleft(rank, 32).bitwiseOR(h.bitwiseXOR(t * 2654435761).bitwiseAND(0xFFFFFFFF))
 
 
 def signatures(rows: DataFrame, key: str, texts: list[str], samples: int = SAMPLES) -> DataFrame:
     """key and, for each column of texts, an array of 32-bit samples of the same name, null for a text without words.
 
-    rows is partitioned by key, which is unique. Texts without words only give no row.
+    rows is partitioned by key, which is unique. Texts without words only give no row. A word that has one weight in
+    several texts is sampled once for them: least values are taken per set of texts (owners, a bit each), then per text.
     """
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(t).alias("t")) for i, t in enumerate(texts)]))
     words = rows.select(key, sides.alias("s")).select(key, "s.side", F.explode(F.split("s.t", _WHITE)).alias("word")).where("word <> ''")
-    weighted = words.groupBy(key, F.xxhash64("word").alias("term")).agg(*[F.count_if(F.col("side") == i).alias(f"w{i}") for i in range(len(texts))])
-    logs = [F.log(f"w{i}") for i in range(len(texts))]
-    least = weighted.groupBy(key).agg(*[F.min(c).alias(f"m{d}_{i}") for d in range(samples) for i, c in enumerate(samples_of(F.col("term"), logs, d))])
+    n = range(len(texts))
+    weighted = words.groupBy(key, F.xxhash64("word").alias("term")).agg(*[F.count_if(F.col("side") == i).alias(f"w{i}") for i in n])
+    each = weighted.withColumn("side", F.explode(F.array(*map(F.lit, n))))
+    w = F.lit(0).cast("long")
+    for i in n:
+        w = F.when(F.col("side") == i, F.col(f"w{i}")).otherwise(w)
+    owners, earlier = F.lit(0), F.lit(False)
+    for i in n:
+        owners = owners + F.when(F.col(f"w{i}") == F.col("w"), 1 << i).otherwise(0)
+        earlier = earlier | ((F.col(f"w{i}") == F.col("w")) & (F.col("side") > i))
+    each = each.withColumn("w", w).where((F.col("w") > 0) & ~earlier).select(key, owners.alias("owners"), "term", F.log("w").alias("log_w"))
+    least = each.groupBy(key, "owners").agg(*[F.min(sample(F.col("term"), F.col("log_w"), d)).alias(f"m{d}") for d in range(samples)])
+    owned = least.groupBy(key).agg(*[F.min(F.when(F.col("owners").bitwiseAND(1 << i) != 0, F.col(f"m{d}"))).alias(f"m{d}_{i}") for i in n for d in range(samples)])
     made = [F.when(F.col(f"m0_{i}").isNotNull(), F.array(*[F.col(f"m{d}_{i}").bitwiseAND(0xFFFFFFFF) for d in range(samples)])).alias(t) for i, t in enumerate(texts)]
-    return least.select(key, *made)
+    return owned.select(key, *made)
 
 
 def likeness(a: Column, b: Column) -> Column:
