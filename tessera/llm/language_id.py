@@ -200,7 +200,7 @@ def identify_pages(pages: DataFrame, model: TextModel | None = None) -> DataFram
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_documents(table(spark, sf_dir, "documents")).drop("text_key")
+    return identify_documents(table(spark, sf_dir, "documents")).drop("text_key").withColumnRenamed("accepted", "kept")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
