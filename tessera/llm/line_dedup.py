@@ -152,7 +152,8 @@ def _repeated(lines: DataFrame) -> DataFrame:
     """doc_id, text_hash, line of exact repetitions. Counting takes numbers only; order inside one document is looked at where it matters."""
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     groups = lines.groupBy("a", "b").agg(F.min(doc).alias("first_doc"), F.count("*").alias("n")).where("n > 1")
-    met = lines.join(groups.select("a", "b", "first_doc"), ["a", "b"]).select("a", "b", "doc_id", "text_hash", "line", (doc > F.col("first_doc")).alias("later"))
+    met = lines.join(sided(groups.select("a", "b", "first_doc")), ["a", "b"]).select("a", "b", "doc_id", "text_hash", "line", (doc > F.col("first_doc")).alias("later"))
+    met = materialise(met)  # where it is shuffled, Spark can split a line that very many documents have
     own = met.where("not later")
     first = own.groupBy("a", "b").agg(F.min(_place()).alias("at"))
     again = own.join(first, ["a", "b"]).where(_place() > F.col("at"))
