@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BL
     """
     sketch = materialise(sketches(docs))
     some = sketch.where("n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))  # apart from the join, which Spark can then split
     member = materialise(some.select("doc_id", "set_a", "set_b", "n_shingles").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
     reps = some.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a"])
 
