@@ -88,5 +88,5 @@ def seal(data: Column, key: bytes) -> Column:
 
 def unseal(sealed: Column, key: bytes) -> Column:
     """The data, null if the version, the key or a bit is wrong."""
-    body = F.try_aes_decrypt(F.expr("cast(null as binary)") if sealed is None else F.substring(sealed, 2, 1 << 30), F.lit(bytearray(key)), F.lit("GCM"))
+    body = F.try_aes_decrypt(F.substring(sealed, 2, 1 << 30), F.lit(bytearray(key)), F.lit("GCM"))
     return F.when(F.substring(sealed, 1, 1) == F.lit(bytearray(b"\x01")), body)
