@@ -182,8 +182,10 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     either = least.groupBy("key").agg(F.min(F.when(F.col("position") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("position") >= 0, F.col("first"))).alias("part")).where("whole is not null and part is not null")
     by_deleting = keys.join(sided(either), "key").select("id", F.when(F.col("position") < 0, F.col("part")).otherwise(F.col("whole")).alias("first")).where("first < id")
     matches = by_replacing.union(by_deleting).distinct()
-    words = near.select(F.col("id").alias("first"), F.col("words").alias("other"))
+    # A repeated row has each line under two ids: a line isn't dropped for itself.
+    words = near.select(F.col("id").alias("first"), F.col("words").alias("other"), F.col("doc_id").alias("other_doc"), F.col("text_hash").alias("other_hash"), F.col("line").alias("other_line"))
     pairs = matches.join(near.select("id", "doc_id", "text_hash", "line", "words"), "id").join(words, "first")
+    pairs = pairs.where(~(F.col("doc_id").eqNullSafe(F.col("other_doc")) & (F.col("text_hash") == F.col("other_hash")) & (F.col("line") == F.col("other_line"))))
     return pairs.select("doc_id", "text_hash", "line", "words", "other").mapInArrow(_verify, "doc_id long, text_hash long, line int")
 
 

@@ -104,6 +104,13 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_line_dedup_keeps_the_first_line_of_repeated_rows(spark):
+    a, b, near = "a b c d e f g h i j", "a b c d e f v w x y", "a b c d e f g h i other"
+    rows = [(1, a), (1, a), (2, f"{b}\n{near}"), (2, f"{b}\n{near}"), (None, f"{a}\nk l m n o p q r s t"), (None, f"{a}\nk l m n o p q r s t"), (3, "k l m n o p 1 2 3 4")]
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, a), (1, a), (2, b), (2, b), (3, rows[-1][1]), (None, "k l m n o p q r s t"), (None, "k l m n o p q r s t")], key=str)
+
+
 @pytest.mark.parametrize("n", range(8, 70))
 def test_half_never_exceeds_half(n):
     assert 3 <= line_dedup.half(np.array([n]))[0] <= (n - 1) / 2
