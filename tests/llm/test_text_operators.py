@@ -251,6 +251,35 @@ def test_scores_are_bm25_and_neighbours_are_the_best():
     assert [p[0] for p in order[0]] == [0, 2, 5, 3]
 
 
+def test_packing_retrieves_over_all_blocks(spark):
+    """Recall of the neighbours against brute force over all documents, whatever block they are in."""
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, rng.randrange(5, 60), 500)) for _ in range(60)]
+    encode = tokens.encoder(tokens.default_vocabulary())
+    ids = [np.append(encode(t), 0) for t in texts]
+    idf = np.ones(max(int(x.max()) for x in ids) + 1, np.float32)
+    frame = spark.createDataFrame([(i, x.astype("<u4").tobytes(), len(x)) for i, x in enumerate(ids)], "row long, ids binary, n long")
+    got = packing._neighbours(frame, np.arange(60), np.arange(60), idf, 40.0, 5, 8)
+    whole = packing.Shard(ids, idf, 40.0)
+    for seed in range(60):
+        score = np.round(whole.scores(seed), 3)
+        score[seed] = -1
+        assert np.allclose(sorted(score[got[seed]]), sorted(score)[-5:], atol=2e-3)
+
+
+def test_packing_joins_partners_across_blocks(spark):
+    rng = random.Random(4)
+    pairs = [" ".join(f"p{k}q{rng.randrange(30)}" for _ in range(40)) for k in range(20)]
+    frame = docs(spark, pairs + pairs)
+    encode = tokens.encoder(tokens.default_vocabulary())
+    window = max(len(encode(t)) + 1 for t in pairs) + 5
+    by_sequence = {}
+    for r in packing.pack(frame, window=window, shard_docs=4).collect():
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"], r["start"]))
+    opened = [sorted(x) for x in by_sequence.values() if min(x)[2] == 0 and len(x) > 1]
+    assert opened and sum(x[0][1] % 20 == x[1][1] % 20 for x in opened) >= 0.9 * len([x for x in opened if x[0][1] < 20])
+
+
 # Secrets
 
 
