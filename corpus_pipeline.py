@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
-    return packing.pack(docs)
+    """Pieces of all documents in sequences, opened and numbered in the order of the mixture: that of the rows in docs' files."""
+    try:
+        place = docs.select("*", F.col("_metadata.file_name").alias("__pipeline_file"), F.col("_metadata.row_index").alias("__pipeline_row"))
+    except AnalysisException:  # rows that aren't read from files have no order
+        return packing.pack(docs)
+    part = F.regexp_extract("__pipeline_file", r"part-(\d+)", 1)
+    return packing.pack(place, order=[part.try_cast("long"), F.col("__pipeline_row")])
 
 
 STAGES = [

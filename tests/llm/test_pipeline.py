@@ -6,6 +6,8 @@ from pathlib import Path
 import corpus_pipeline
 from test_text_operators import brute_components, brute_lines
 
+from tessera.llm import mixing
+
 ROOT = Path(__file__).resolve().parents[2]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,6 +56,19 @@ def test_stages_one_after_the_other(spark, tmp_path):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, kept["packing"]))
 
 
+def test_packing_follows_the_mixture(spark, tmp_path):
+    """Other weights of the sources give other sequences, opened in the order of the mixture."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "en", f"s{i % 2}", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out, first = {}, {}
+    for name, weights in (("a", {"s0": 1.0, "s1": 0.0}), ("b", {"s0": 0.0, "s1": 1.0})):
+        mixing.mix(docs, weights).write.parquet(str(tmp_path / name))
+        out[name] = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / name)), "").collect()
+        first[name] = min((r["sequence_id"], r["offset"], r["doc_id"]) for r in out[name])[2]
+    assert sorted(map(tuple, out["a"])) != sorted(map(tuple, out["b"]))
+    assert (first["a"] % 2, first["b"] % 2) == (0, 1)
+
+
 def test_stages_take_an_empty_table_and_extra_columns(spark):
     _, docs = fixture(spark)
     for _, stage in corpus_pipeline.STAGES:
