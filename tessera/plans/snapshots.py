@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import materialise
 from tessera.operators import retention, snapshots
 from tessera.operators.retention import Policy
 from tessera.plans.registry import QUERIES, SQL, query, table
@@ -150,6 +151,18 @@ def newest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("ref", F.row_number().over(Window.orderBy(F.col("created").desc(), "ref")).cast("long").alias("position"))
 
 
+@query(_EVENTS + "SELECT ref, row_number() OVER (ORDER BY created DESC, ref) AS position FROM s")
+def all_snapshots_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of all snapshots. Ranges are sorted apart, and each is numbered from the rows before it."""
+    from pyspark.sql import Window
+
+    rows = materialise(snapshots.newest_first(events(spark, sf_dir)).select("ref", F.monotonically_increasing_id().alias("id")))
+    part = F.shiftright("id", 33)
+    before = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), part == F.col("part")).select("ref", (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("position"))
+
+
 @query(
     _EVENTS
     + """, l AS (SELECT type, max(created) AS created FROM s GROUP BY type)

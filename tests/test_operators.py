@@ -315,3 +315,13 @@ def test_health_tables(spark):
     assert [r["status"] for r in dashboard.credential_health(auth).orderBy("name").collect()] == ["ready", "warning", "error"]
     stores = spark.createDataFrame([("a", "local:/x"), ("b", ""), ("c", "ftp://x")], "name string, uri string")
     assert [r["note"] for r in dashboard.store_health(stores).orderBy("name").collect()] == ["", "missing uri", "invalid uri"]
+
+
+def test_all_snapshots_newest_first_has_every_snapshot(spark, tmp_path):
+    import duckdb
+    from tessera.plans.registry import QUERIES, SQL
+
+    spark.range(1000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 7919 % 300) AS ts", "'view' AS event_type", "id % 9 AS user_id", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    events = duckdb.read_parquet(f"{tmp_path}/events.parquet/*.parquet")  # noqa: F841
+    got = sorted((r["ref"], r["position"]) for r in QUERIES["all_snapshots_newest_first"](spark, str(tmp_path)).collect())
+    assert len(got) == 1000 and got == sorted(duckdb.sql(SQL["all_snapshots_newest_first"]).fetchall())
