@@ -4,7 +4,7 @@ Texts are equal when they are identical without ASCII white space. The hash of t
 ranges of keys (their leading bits) in key order and load the index in bulk: a bucket that holds more than its
 capacity splits on the next bit of its keys, and where a bucket needs more bits than the owner's directory has, the
 directory doubles. Texts with one key form a chain and are told apart by comparing bytes. The index (bucket, depth,
-key, chain, the row that stays, size of the group) lies in the shared folder, where later batches can probe it.
+key, chain, the row that stays, size of the group) is a checkpoint of the session; no lookup goes through its buckets.
 
 A hot group is folded before the shuffle: each Arrow batch sends one text per distinct content with the count and the
 best row, so an owner gets at most one copy per batch. Rows find their group by an equi-join on key and digest, without
