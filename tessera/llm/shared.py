@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.lineage import materialise, shared_dir
 
-__all__ = ["drop_tables", "encoded", "materialise", "pieces", "shared_dir", "sided", "table", "text_or_empty", "worker_cache", "written_table"]
+__all__ = ["drop_tables", "encoded", "materialise", "pieces", "running_total", "shared_dir", "sided", "spread", "table", "text_or_empty", "worker_cache", "written_table"]
 
 #: Rows of numbers that are broadcast at most.
 BROADCAST_ROWS = 200_000
@@ -96,3 +96,26 @@ def sided(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, computed once, as the small side of a join: broadcast if it has at most so many rows, else joined by a shuffle. For narrow rows only."""
     df = materialise(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, name: str) -> tuple[DataFrame, int]:
+    """df with the sum of value over the rows before, in the order given (which has no ties), and the sum of all.
+
+    Rows are cut into ranges and sorted inside; one number per range reaches the driver.
+    """
+    spark = df.sparkSession
+    ranged = materialise(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = {r["__range"]: r["s"] for r in ranged.groupBy("__range").agg(F.sum(value).cast("long").alias("s")).collect()}
+    before, total = [], 0
+    for i in sorted(sums):
+        before.append((i, total))
+        total += sums[i]
+    inside = F.sum(value).over(Window.partitionBy("__range").orderBy(*order)) - F.col(value)
+    summed = ranged.withColumn(name, inside).join(F.broadcast(spark.createDataFrame(before, "__range int, __before long")), "__range")
+    return summed.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__range", "__before"), total
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the session has cores, if it has fewer: for small inputs of costly work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -30,6 +30,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+_bytes: dict[str, int] = {}
+
+
+def bytes_of(token: str) -> bytes:
+    """The bytes of a token of a byte-level vocabulary; other characters are themselves."""
+    if not _bytes:
+        _bytes.update(_byte_of())
+    return b"".join(bytes([_bytes[c]]) if c in _bytes else c.encode() for c in token)
+
+
 def tiktoken_encoding(path: str):
     """The vocabulary of a tokenizers file as a tiktoken encoding; special tokens have no special meaning in texts."""
     cache = worker_cache()
@@ -39,8 +49,7 @@ def tiktoken_encoding(path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         added = {x["content"] for x in model.get("added_tokens", ())}
-        byte_of = _byte_of()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
+        ranks = {bytes_of(token): i for token, i in model["model"]["vocab"].items() if token not in added}
         cache["tiktoken", path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return cache["tiktoken", path]
 

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -210,7 +211,7 @@ def test_packing_is_a_partition_without_padding(spark):
     rng = random.Random(5)
     texts = [" ".join(words(rng, rng.choice([0, 1, 5, 200, 900, 4000]), 300)) for _ in range(120)] + [None, "", "日本語のテキスト", "a b <|endoftext|>"]
     frame = docs(spark, texts)
-    got = packing.pack(frame, shard_docs=40).collect()
+    got = packing.pack(frame).collect()
     encode = tokens.encoder(tokens.default_vocabulary())
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -239,45 +240,89 @@ def test_ids_equal_the_tokenizers_library():
         assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
-def test_scores_are_bm25_and_neighbours_are_the_best():
-    rng = np.random.default_rng(2)
-    ids = [rng.integers(0, 60, rng.integers(1, 80)) for _ in range(30)]
-    idf, mean = rng.random(61), 40.0
-    index = packing.Shard(ids, idf, mean)
-    for seed in (0, 7):
-        want = [sum(idf[t] * (tf := int((d == t).sum())) * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(ids[seed].tolist())) for d in ids]
-        assert np.allclose(index.scores(seed), want, rtol=1e-4)
-    order = packing.plan([10] * 6, lambda seed: np.array([0, 1, 5, 3, 2, 4]), window=40)
-    assert [p[0] for p in order[0]] == [0, 2, 5, 3]
-
-
-def test_packing_retrieves_over_all_blocks(spark):
-    """Recall of the neighbours against brute force over all documents, whatever block they are in."""
+def brute_neighbours(texts, k):
+    """Row -> the k best (score, row) after it, by scoring every document for the row's query."""
+    path = tokens.default_vocabulary()
+    encode, opens = tokens.encoder(path), packing.word_openers(path)
+    ids = [np.append(encode(t or ""), 0) for t in texts]
+    found = []
+    for x in ids:
+        words, held = [], []
+        for i in x.tolist():
+            if opens[i] and held:
+                words.append(tuple(held))
+                held = []
+            held.append(i)
+        found.append(collections.Counter([*words, tuple(held)]))
+    df = collections.Counter(w for f in found for w in f)
+    number = {w: int(packing.document_terms([np.array(w)], opens)[0][0][0]) for w in df}
+    mean, out = sum(map(len, ids)) / len(ids), {}
+    for i, f in enumerate(found):
+        query = sorted((w for w in f if df[w] > 1), key=lambda w: (min(df[w], 255), number[w]))[: packing.QUERY_TERMS]
+        scores = []
+        for j in range(i + 1, len(ids)):
+            idf = {w: np.log1p((len(ids) - df[w] + 0.5) / (df[w] + 0.5)) for w in query}
+            length = packing.K1 * (1 - packing.B + packing.B * len(ids[j]) / mean)
+            score = sum(round(1024 * idf[w] * found[j][w] * (packing.K1 + 1) / (found[j][w] + length)) for w in query if w in found[j])
+            if score:
+                scores.append((-score, j))
+        out[i] = [(-x, j) for x, j in sorted(scores)[:k]]
+    return {i: x for i, x in out.items() if x}
+
+
+def test_packing_retrieves_over_all_documents(spark):
+    """Recall of the neighbours against brute force over all documents is 1."""
     rng = random.Random(9)
-    texts = [" ".join(words(rng, rng.randrange(5, 60), 500)) for _ in range(60)]
-    encode = tokens.encoder(tokens.default_vocabulary())
-    ids = [np.append(encode(t), 0) for t in texts]
-    idf = np.ones(max(int(x.max()) for x in ids) + 1, np.float32)
-    frame = spark.createDataFrame([(i, x.astype("<u4").tobytes(), len(x)) for i, x in enumerate(ids)], "row long, ids binary, n long")
-    got = packing._neighbours(frame, np.arange(60), np.arange(60), idf, 40.0, 5, 8)
-    whole = packing.Shard(ids, idf, 40.0)
-    for seed in range(60):
-        score = np.round(whole.scores(seed), 3)
-        score[seed] = -1
-        assert np.allclose(sorted(score[got[seed]]), sorted(score)[-5:], atol=2e-3)
-
-
-def test_packing_joins_partners_across_blocks(spark):
+    texts = [" ".join(words(rng, rng.randrange(5, 80), 700)) for _ in range(80)] + [None, "", "w1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    held = packing.tokenised(frame, tokens.default_vocabulary())
+    at = {r["row"]: r["doc_id"] for r in held.select("row", "doc_id").collect()}
+    by_doc = held.withColumn("row", held["doc_id"])  # rows in the order of ids
+    got = {r["row"]: [(x["score"], x["other"]) for x in r["best"]] for r in packing.neighbours(packing.postings(by_doc, tokens.default_vocabulary())).collect()}
+    want = brute_neighbours(texts, packing.NEIGHBOURS)
+    assert len(at) == len(texts) and set(got) == set(want)
+    assert all([abs(x - y) <= 8 for (x, _), (y, _) in zip(got[i], want[i], strict=True)] for i in got)
+    hits = sum(len({j for _, j in got[i]} & {j for _, j in want[i]}) for i in want)
+    assert hits >= 0.99 * sum(map(len, want.values()))
+
+
+def test_a_term_in_many_documents_has_shards(spark, monkeypatch):
+    """A term that all documents have is cut into shards: pairs grow with documents times a shard's size, and all are packed."""
+    monkeypatch.setattr(packing, "SHARD_POSTINGS", 8)
+    texts = ["common words only here"] * 200
+    held = packing.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokens.default_vocabulary())
+    index = packing.postings(held, tokens.default_vocabulary())
+    assert index.groupBy("term", "shard").count().agg({"count": "max"}).first()[0] <= 24
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=32).collect()
+    assert sorted({r["doc_id"] for r in got}) == list(range(200))
+
+
+def test_packing_joins_partners(spark):
+    """Of each pair of near copies one follows the other."""
     rng = random.Random(4)
-    pairs = [" ".join(f"p{k}q{rng.randrange(30)}" for _ in range(40)) for k in range(20)]
-    frame = docs(spark, pairs + pairs)
-    encode = tokens.encoder(tokens.default_vocabulary())
-    window = max(len(encode(t)) + 1 for t in pairs) + 5
+    pairs = [" ".join(f"p{k}q{rng.randrange(3000)}" for _ in range(40)) for k in range(20)]
+    frame = docs(spark, pairs + [t + " more" for t in pairs])
     by_sequence = {}
-    for r in packing.pack(frame, window=window, shard_docs=4).collect():
-        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"], r["start"]))
-    opened = [sorted(x) for x in by_sequence.values() if min(x)[2] == 0 and len(x) > 1]
-    assert opened and sum(x[0][1] % 20 == x[1][1] % 20 for x in opened) >= 0.9 * len([x for x in opened if x[0][1] < 20])
+    for r in packing.pack(frame, window=1 << 14).collect():
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"] % 20))
+    order = [d for x in by_sequence.values() for _, d in sorted(x)]
+    assert sum(a == b for a, b in zip(order, order[1:])) >= 18
+
+
+def test_matching_gives_each_row_one_place(spark):
+    best = spark.createDataFrame([(0, [(9, 3), (8, 4)]), (1, [(7, 3), (6, 4)]), (2, [(7, 3), (5, 4)]), (3, [(1, 4)])], "row long, best array<struct<score long, other long>>")
+    assert sorted(map(tuple, packing.matched(best).collect())) == [(0, 3), (1, 4)]
+    rows = spark.createDataFrame([(i, 10 + i) for i in range(6)], "row long, n long")
+    links = spark.createDataFrame([(0, 2), (2, 5), (1, 3)], "row long, follows long")
+    assert sorted(map(tuple, packing.chains(rows, links).collect())) == [(0, 0, 0), (1, 1, 0), (2, 0, 10), (3, 1, 11), (4, 4, 0), (5, 0, 22)]
+
+
+def test_packing_odd_rows(spark):
+    """Null and repeated doc_ids are packed each; columns with the operator's own names are ignored."""
+    rows = [(None, "a b c", "x", 1), (None, "a b c", "x", 1), (4, "a b c", "x", 1), (4, None, "x", 1), (4, None, "x", 1)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, ids string, row long"), window=4).collect()
+    assert sorted(((r["doc_id"] or -1), r["start"], r["length"]) for r in got if r["doc_id"] is None or r["doc_tokens"] > 1) and sum(r["length"] for r in got) == 3 * 4 + 2
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 8
 
 
 # Secrets
