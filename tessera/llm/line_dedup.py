@@ -1,20 +1,23 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Lines are sequences of words. Two lines are the same if their words are equal, or, from MIN_WORDS words on, if one word
-inserted, deleted or replaced turns one into the other (edit distance 1 over words). A line is dropped if a line that
-comes earlier in the collection, by doc_id and line number, is the same.
-
-The neighbourhood of a line is itself and its variants with one word deleted, as hashed keys. Lines that differ by a
-replacement share the variant at that position; a line with one word more has a variant that is the shorter line. Per
+Lines are sequences of words, or, for the shorter ones, of characters (words with one space between). The edit bound is
+one unit, if a line has at least WORDS_PER_EDIT words or CHARS_PER_EDIT characters for it: two lines are the same if
+their words are equal; if both have WORDS_PER_EDIT words and one word inserted, deleted or replaced turns one into the
+other; or else if both have CHARS_PER_EDIT characters and one character does. A line is dropped if a line that comes
+earlier in the collection, by doc_id and line number, is the same.
+
+The neighbourhood of a line is itself and its variants with one unit deleted, as hashed keys. Lines that differ by a
+replacement share the variant at that position; a line with one unit more has a variant that is the shorter line. Per
 key the earliest member is enough, a map-side combined minimum, so a line that a third of all documents has meets each
-of its likes once. Every match found by keys is verified on the words.
+of its likes once. Every match found by keys is verified on the words; equal lines are told by a digest of 128 bits.
 
 Only lines that can have a partner get a neighbourhood: of two lines at distance 1 one half is equal, so a hash of the
-first or the last words (a number that doesn't exceed half) must occur in two different lines. This drops no pair.
+first or the last units (a number that doesn't exceed half) must occur in two different lines. This drops no pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,47 +26,73 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import encoded, materialise, pieces, sided, table, written_table
-from tessera.llm.shingles import _power_table, mix64
+from tessera.llm.shingles import mix64, word_hashes
 
-#: Shorter lines are only compared exactly.
-MIN_WORDS = 8
+#: Units that a line has for its one edit.
+WORDS_PER_EDIT, CHARS_PER_EDIT = 8, 10
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _LINES = "doc_id long, text_hash long, line int, a long, b long, halves array<long>"
-_NEIGHBOURS = "doc_id long, text_hash long, line int, words string, whole long, variants array<long>"
-
-
-class Hashed:
-    """Hashes of any stretch of words of many lines, from prefix sums of a polynomial over their bytes."""
-
-    def __init__(self, lines: list[bytes], second: bool = False) -> None:
-        """lines: words with one space between, at least one word each."""
-        joined = b" ".join(lines)
-        data = np.frombuffer(joined, np.uint8)
-        gaps = np.flatnonzero(data == 32)
-        self.start, self.end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-        self.count = np.array([x.count(b" ") + 1 for x in lines], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.count)[:-1])).astype(np.int64)
-        self.sums = []
-        for base in _BASES[: 1 + second]:
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(base, len(data)), out=sums[1:])
-            self.sums.append(sums)
-
-    def of(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
-        """The hash of words first to last, both included, by their number among all words."""
-        begin, sums = self.start[first], self.sums[which]
-        return mix64((sums[self.end[last]] - sums[begin]) * _power_table(_INVERSES[which], int(begin.max(initial=0)) + 1)[begin])
-
-
-def half(words: np.ndarray) -> np.ndarray:
-    """The words at either end that one of two lines at distance 1 shares, for the shorter one's length: from a coarse grid, at most (words - 1) / 2."""
-    most = np.maximum((words - 1) // 2, 1)
+_NEIGHBOURS = "doc_id long, text_hash long, line int, kind int, words string, whole long, variants array<long>"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of lines (words with one space between, at least one), and the number of words of each."""
+    joined = b" ".join(lines)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return word_hashes(joined, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))), np.array([x.count(b" ") + 1 for x in lines], np.int64)
+
+
+def characters_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines, and their number."""
+    texts = [x.decode("utf-8") for x in lines]
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64), np.array([len(x) for x in texts], np.int64)
+
+
+#: The kinds of units, and how many of them a line needs to have an edit.
+_KINDS = ((words_of, WORDS_PER_EDIT), (characters_of, CHARS_PER_EDIT))
+
+
+def has_kind(line: bytes, kind: int) -> bool:
+    """Whether the line may be at distance 1 of another one over these units."""
+    words = line.count(b" ") + 1
+    if kind == 0:
+        return words >= WORDS_PER_EDIT
+    return words <= WORDS_PER_EDIT and len(line) >= CHARS_PER_EDIT and len(line.decode("utf-8")) >= CHARS_PER_EDIT
+
+
+def half(units: np.ndarray) -> np.ndarray:
+    """The units at either end that one of two lines at distance 1 shares, for the shorter one's length: from a coarse grid, at most (units - 1) / 2."""
+    most = np.maximum((units - 1) // 2, 1)
     power = 1 << np.floor(np.log2(most)).astype(np.int64)
     return np.where(2 * most >= 3 * power, power + power // 2, power)
 
 
+def _sums(units: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sums of the units before each, every one mixed with its place."""
+    out = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(mix64(units ^ mix64(places * _STEP)), out=out[1:])
+    return out
+
+
+def halves_of(lines: list[bytes], kind: int) -> list[list[int]]:
+    """Keys of the halves that a partner of each line may share: for partners as long as the line, and for shorter ones."""
+    read, least = _KINDS[kind]
+    units, count = read(lines)
+    first = np.cumsum(count) - count
+    inside = (np.arange(len(units)) - np.repeat(first, count)).astype(np.uint64)
+    back = np.repeat(count, count).astype(np.uint64) - inside
+    ahead, behind = (_sums(units, at) for at in (inside, back))
+    out = []
+    for m in (count, count - 1):
+        n = np.minimum(half(np.maximum(m, 2)), count)
+        salt = mix64((4 * n + kind).astype(np.uint64))
+        last = first + count
+        for k, sums in enumerate((ahead[first + n] - ahead[first], behind[last] - behind[last - n])):
+            out.append(np.where(m >= least, mix64(sums + salt + np.uint64(2 * k)) | np.uint64(1), np.uint64(0)).view(np.int64))
+    return [[k for k in dict.fromkeys(row) if k] for row in np.stack(out, axis=1).tolist()]
+
+
 def _split(text: bytes) -> list[bytes]:
     return [b" ".join(x.split()) for x in text.split(b"\n")]
 
@@ -80,34 +109,29 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     number.append(j)
         if not lines:
             continue
-        h = Hashed(lines, second=True)
-        last = h.first + h.count - 1
-        halves = []
-        for m in (h.count, h.count - 1):
-            n = half(np.maximum(m, 2))
-            fits = m >= MIN_WORDS
-            for k, (x, y) in enumerate(((h.first, h.first + n - 1), (last - n + 1, last))):
-                x, y = np.where(fits, x, h.first), np.where(fits, y, h.first)
-                halves.append(np.where(fits, mix64(h.of(x, y) + (2 * n + k).astype(np.uint64)), np.uint64(0)).view(np.int64))
-        keys = [[k for k in dict.fromkeys(row) if k] for row in np.stack(halves, axis=1).tolist()]
+        keys: list[list[int]] = [[] for _ in lines]
+        for kind in (0, 1):
+            chosen = [i for i, x in enumerate(lines) if has_kind(x, kind)]
+            if chosen:
+                for i, found in zip(chosen, halves_of([lines[i] for i in chosen], kind), strict=True):
+                    keys[i] = keys[i] + found
+        digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), "<i8").reshape(-1, 2)
         taken = pa.array(doc, pa.int64())
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id").take(taken), "text_hash": batch.column("text_hash").take(taken), "line": pa.array(number, pa.int32()),
-            "a": pa.array(h.of(h.first, last).view(np.int64)), "b": pa.array(h.of(h.first, last, 1).view(np.int64)), "halves": pa.array(keys, pa.list_(pa.int64())),
+            "a": pa.array(digest[:, 0].copy()), "b": pa.array(digest[:, 1].copy()), "halves": pa.array(keys, pa.list_(pa.int64())),
         })
 
 
-def neighbourhood(line: bytes) -> tuple[int, list[int]]:
-    """Keys of the line itself and of its variants without one word, by position. Words are hashed, then their sequence, so all take O(words)."""
-    h = Hashed([line])
-    n = int(h.count[0])
-    at = np.arange(n)
-    value = h.of(at, at) * _power_table(_BASES[1], n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=sums[1:])
-    without = sums[:n] + (sums[n] - sums[1:]) * _INVERSES[1]
-    salt = mix64(np.array([n, n - 1], np.uint64))
-    return int(mix64(sums[n:] + salt[0]).view(np.int64)[0]), mix64(without + salt[1]).view(np.int64).tolist()
+def neighbourhood(line: bytes, kind: int) -> tuple[int, list[int]]:
+    """Keys of the line itself and of its variants without one unit, by position, in O(units): a unit after the gap counts as one place earlier."""
+    units, _ = _KINDS[kind][0]([line])
+    n = len(units)
+    at = np.arange(n, dtype=np.uint64)
+    here, earlier = (_sums(units, place) for place in (at, at - np.uint64(1)))
+    salt = mix64(np.array([2 * n + kind, 2 * (n - 1) + kind], np.uint64))
+    without = here[:n] + (earlier[n] - earlier[1:])
+    return int(mix64(here[n:] + salt[0]).view(np.int64)[0]), mix64(without + salt[1]).view(np.int64).tolist()
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +143,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.split(b"\n")
             for j in wanted[i]:
                 line = b" ".join(lines[j].split())
-                rows.append((ids[i], hashes[i], j, line.decode("utf-8"), *neighbourhood(line)))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()))
-        names = ("doc_id", "text_hash", "line", "words", "whole", "variants")
+                rows += [(ids[i], hashes[i], j, kind, line.decode("utf-8"), *neighbourhood(line, kind)) for kind in (0, 1) if has_kind(line, kind)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+        names = ("doc_id", "text_hash", "line", "kind", "words", "whole", "variants")
         yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def within_one(a: list[str], b: list[str]) -> bool:
-    """Whether the edit distance of two word lists is at most 1."""
+def within_one(a: list[str] | str, b: list[str] | str) -> bool:
+    """Whether the edit distance of two sequences is at most 1."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -137,9 +161,17 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
+def same_line(x: str, y: str) -> bool:
+    """Whether two lines (words with one space between) are the same."""
+    a, b = x.split(" "), y.split(" ")
+    if min(len(a), len(b)) >= WORDS_PER_EDIT:
+        return within_one(a, b)
+    return x == y or min(len(x), len(y)) >= CHARS_PER_EDIT and within_one(x, y)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [within_one(x.split(" "), y.split(" ")) for x, y in zip(batch.column("words").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+        keep = [same_line(x, y) for x, y in zip(batch.column("words").to_pylist(), batch.column("other").to_pylist(), strict=True)]
         yield batch.select(["doc_id", "text_hash", "line"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -170,8 +202,9 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = sided(wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "wanted"))
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     near = met.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_neighbours, _NEIGHBOURS)
+    near = written_table(near, "wanted")  # computed once: a range partitioning reads its input twice
     # Numbered in order: ids of later lines are larger.
-    place = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"), F.col("line")]
+    place = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"), F.col("line"), F.col("kind")]
     near = written_table(near.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("id", F.monotonically_increasing_id()), "neighbourhoods")
 
     keys = near.select("id", F.posexplode("variants").alias("position", "key")).union(near.select("id", F.lit(-1), "whole"))
@@ -229,12 +262,15 @@ lines AS (
   SELECT doc_id, line, w FROM (SELECT doc_id, line, [x FOR x IN regexp_split_to_array(s, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM numbered) WHERE len(w) > 0),
 firsts AS (SELECT w, min({'d': doc_id, 'l': line}) AS place FROM lines GROUP BY w),
 exact AS (SELECT l.doc_id, l.line FROM lines l JOIN firsts f ON l.w = f.w WHERE {'d': l.doc_id, 'l': l.line} > f.place),
+units AS (
+  SELECT 'w' AS kind, w AS u, place FROM firsts WHERE len(w) >= 8
+  UNION ALL SELECT 'c', string_split(array_to_string(w, ' '), ''), place FROM firsts WHERE len(w) <= 8 AND length(array_to_string(w, ' ')) >= 10),
 variants AS (
-  SELECT w, place, p, array_to_string(w[1:p - 1] || w[p + 1:], ' ') AS key
-  FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS p FROM firsts WHERE len(w) >= 8)),
-replaced AS (SELECT place, min(place) OVER (PARTITION BY key, p, len(w)) AS other FROM variants),
-wholes AS (SELECT place, array_to_string(w, ' ') AS key FROM firsts WHERE len(w) >= 8),
-deleted AS (SELECT v.place AS long_at, x.place AS short_at FROM variants v JOIN wholes x USING (key)),
+  SELECT kind, len(u) AS n, place, p, array_to_string(u[1:p - 1] || u[p + 1:], chr(1)) AS key
+  FROM (SELECT kind, u, place, unnest(range(1, len(u) + 1)) AS p FROM units)),
+replaced AS (SELECT place, min(place) OVER (PARTITION BY kind, key, p, n) AS other FROM variants),
+wholes AS (SELECT kind, len(u) AS n, place, array_to_string(u, chr(1)) AS key FROM units),
+deleted AS (SELECT v.place AS long_at, x.place AS short_at FROM variants v JOIN wholes x ON x.kind = v.kind AND x.key = v.key AND x.n = v.n - 1),
 near AS (
   SELECT place FROM replaced WHERE other < place
   UNION SELECT long_at FROM deleted WHERE short_at < long_at

@@ -2,7 +2,8 @@
 
 1. Each whole text becomes its set of five-word shingles and a signature of 128 slots; 32 bands of 4 slots. At
    similarity 0.75 a pair shares no band with probability 5e-6.
-2. Equal sets form a class, whose smallest doc_id stands for it: exact copies never meet in a bucket.
+2. Texts with equal words (a digest of 128 bits) form a class, whose smallest doc_id stands for it: exact copies never
+   meet in a bucket.
 3. In every bucket each member meets the smallest one. Per document the partner with the most common bands is verified
    on full sets, and verified links are merged.
 4. Buckets whose members are then still in several components are looked at by signature: a maximum spanning forest
@@ -17,6 +18,7 @@ nor its rows grow with a group.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import chased, connected_components, merged
 from tessera.llm.shared import encoded, materialise, pieces, table
-from tessera.llm.shingles import mix64, shingle_sets, super_minhash
+from tessera.llm.shingles import exact_shingles, mix64, plain, shingle_sets, super_minhash
 
 SLOTS, BANDS = 128, 32
 #: Links have 100 * intersection >= THRESHOLD * union.
@@ -48,23 +50,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        sets = shingle_sets(encoded(batch.column("text")))
+        texts = encoded(batch.column("text"))
+        sets = shingle_sets(texts)
         signature = super_minhash(sets, SLOTS).view(np.uint64)
         rows = signature.reshape(len(sets), BANDS, SLOTS // BANDS)
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS)).copy()
         for i in range(SLOTS // BANDS):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
         short = (mix64(signature) & np.uint64(0xFFFF)).astype(np.uint16)
-        digest = [[np.uint64(mix64(s ^ np.uint64(seed)).sum(dtype=np.uint64)) for s in sets] for seed in (0x51, 0xA7)]
+        digest = np.frombuffer(b"".join(hashlib.blake2b(plain(t), digest_size=16).digest() for t in texts), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "set_a": pa.array(_signed(np.array(digest[0], np.uint64))), "set_b": pa.array(_signed(np.array(digest[1], np.uint64))),
+            "set_a": pa.array(digest[:, 0].copy()), "set_b": pa.array(digest[:, 1].copy()),
             "signature": pa.array([s.tobytes() for s in short], pa.binary()), "bands": pa.array([list(k) if len(s) else [] for k, s in zip(_signed(key), sets, strict=True)], pa.list_(pa.int64())),
         })
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): number of shingles, digest of the set, signature and band keys."""
+    """Per row of docs (doc_id, text): number of shingles, digest of the words, signature and band keys."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, _SKETCH)
 
 
@@ -76,17 +79,25 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return bool(common) and 100 * common >= threshold * (len(a) + len(b) - common)
 
 
+def confirmed(a: bytes, b: bytes, threshold: int) -> bool:
+    """linked() on the shingles themselves: what hashes have found counts only if the words agree."""
+    x, y = exact_shingles(a), exact_shingles(b)
+    common = len(x & y)
+    return bool(common) and 100 * common >= threshold * (len(x) + len(y) - common)
+
+
 def _verifier(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in pieces(batches, "text_b"):
             a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
-            column = batch.column("text_a")
-            sets, good = shingle_sets(encoded(batch.column("text_b"))), []
+            column, others = batch.column("text_a"), encoded(batch.column("text_b"))
+            sets, good = shingle_sets(others), []
             for i in range(len(a)):
                 if last[0] is None or last[0] != a[i]:
-                    last = (a[i], shingle_sets(encoded(column.slice(i, 1)))[0])
-                if linked(last[1], sets[i], threshold):
+                    text = encoded(column.slice(i, 1))[0]
+                    last = (a[i], shingle_sets([text])[0])
+                if linked(last[1], sets[i], threshold) and confirmed(text, others[i], threshold):
                     good.append(i)
             yield pa.RecordBatch.from_pydict({c: pa.array([v[i] for i in good], pa.int64()) for c, v in (("a", a), ("b", b))})
 
@@ -192,7 +203,7 @@ def _search(least: float, threshold: int):
         found = found[np.argsort(-estimates[found[:, 0], found[:, 1]].astype(np.int16), kind="stable")]
         for i, j in found.tolist():  # the likeliest first: most pairs are connected before their turn
             a, b = find(int(comps[i])), find(int(comps[j]))
-            if a != b and linked(of(i), of(j), threshold):
+            if a != b and linked(of(i), of(j), threshold) and confirmed((texts[i] or "").encode(), (texts[j] or "").encode(), threshold):
                 root[a] = b
                 out.append((ids[i], ids[j]))
         return out
@@ -235,7 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block: int = BL
     doc_id reachable, kept is true where it is the own one. Null and empty texts and white space have no shingles and are
     linked with nothing; texts of fewer than five words have one, the whole sequence. Texts are read whole. Rows that share
     a doc_id are one node of the graph, linked if one of their texts is; a null doc_id takes part in its class of equal
-    sets only. Other columns are ignored; an empty table gives an empty result.
+    words only. Other columns are ignored; an empty table gives an empty result.
     """
     sketch = materialise(sketches(docs))
     some = sketch.where("n_shingles > 0")

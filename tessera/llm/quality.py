@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import encoded, pieces, table
-from tessera.llm.shingles import _BASE, _INVERSE, _power_table, mix64
+from tessera.llm.shingles import mix64, word_hashes
 
 #: The bound of the training sample: documents of each label, and lines of one of them.
 TRAIN_DOCS, TRAIN_LINES = 1500, 200
@@ -64,9 +64,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     out[:, 14] = length == 0
     begins = np.flatnonzero(opens)
     stops = np.flatnonzero(np.concatenate(((kind[1:] == 3) & (kind[:-1] != 3), [False])))  # the last byte of each word
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data)), out=sums[1:])
-    word = mix64((sums[stops + 1] - sums[begins]) * _power_table(_INVERSE, len(data))[begins])
+    word = word_hashes(joined, begins, stops + 1)
     line = np.searchsorted(starts, begins, side="right") - 1
     again = np.concatenate(([False], (word[1:] == word[:-1]) & (line[1:] == line[:-1])))[: len(word)]
     _, at = np.unique(mix64(word + line.astype(np.uint64)), return_index=True)

@@ -9,18 +9,8 @@ WORDS = 5
 #: Bytes of one text that are turned into arrays at once; longer texts are cut between words, with an overlap.
 SEGMENT_BYTES = 1 << 22
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {}
-
-
-def _power_table(base: np.uint64, n: int) -> np.ndarray:
-    held = _powers.get(int(base))
-    if held is None or len(held) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        held = _powers[int(base)] = np.multiply.accumulate(steps)
-    return held[:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,6 +21,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes: its blocks of eight are mixed with their number, one by one, and summed.
+
+    No step is linear in the bytes, unlike a polynomial's, whose sums modulo 2 ** 64 are equal for some different texts.
+    """
+    length = ends - starts
+    blocks = np.maximum((length + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(blocks.sum()) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * number
+    held = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), 0, (1,))[at]
+    held = held & _KEEP[np.clip(np.repeat(ends, blocks) - at, 0, 8)]
+    sums = np.add.reduceat(mix64(held ^ mix64(number.astype(np.uint64))), first) if len(first) else np.empty(0, np.uint64)
+    return mix64(sums ^ mix64(length.astype(np.uint64)))
+
+
 def plain(text: bytes) -> bytes:
     """A-Z lower-cased, words [^\\x20\\x09-\\x0D]+ with one space between."""
     return b" ".join(text.lower().split())
@@ -76,22 +82,31 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _hash_parts(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, and where those of each part begin. A shingle's bytes are a polynomial; prefix sums give it at once."""
+    """Hashes of all shingles, and where those of each part begin. A shingle sums its words' hashes, each mixed with its place."""
     joined = b" ".join(parts)
-    data = np.frombuffer(joined, np.uint8)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data)), out=sums[1:])
-    gaps = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    word = word_hashes(joined, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)])))
     counts = np.array([p.count(b" ") + 1 for p in parts])
     shingles = np.maximum(counts - (WORDS - 1), 1)
     first_word, bounds = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(shingles)))
-    inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], shingles)
-    first = np.repeat(first_word[:-1], shingles) + inside
-    last = np.minimum(first + WORDS - 1, np.repeat(first_word[1:] - 1, shingles))
-    begin, end = starts[first], ends[last]
-    return mix64((sums[end] - sums[begin]) * _power_table(_INVERSE, len(data))[begin]), bounds
+    first = np.repeat(first_word[:-1], shingles) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], shingles)
+    short = bool((counts < WORDS).any())
+    end = np.repeat(first_word[1:], shingles) if short else None
+    sums = np.zeros(len(first), np.uint64)
+    for j in range(WORDS):
+        placed = mix64(word + _STEP * np.uint64(j + 1))
+        if short:
+            inside = first + j < end
+            sums[inside] += placed[first[inside] + j]
+        else:
+            sums += placed[first + j]
+    return mix64(sums), bounds
+
+
+def exact_shingles(text: bytes) -> set[bytes]:
+    """The shingles themselves."""
+    words = plain(text).split(b" ")
+    return {b" ".join(words[i : i + WORDS]) for i in range(max(len(words) - WORDS + 1, 1))} - {b""}
 
 
 def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:

@@ -54,13 +54,30 @@ def test_buckets_split_on_prefix_bits(capacity):
 # Line dedup
 
 
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_same(w, o):
+    """Over words if both lines have enough, else over characters."""
+    if min(len(w), len(o)) >= 8:
+        return abs(len(w) - len(o)) <= 1 and brute_distance(w, o) <= 1
+    x, y = " ".join(w), " ".join(o)
+    return min(len(x), len(y)) >= 10 and abs(len(x) - len(y)) <= 1 and brute_distance(x, y) <= 1
+
+
 def brute_lines(rows):
     seen, out = [], []
     for doc_id, text in sorted(rows):
         kept = []
         for line in (text or "").split("\n"):
             w = line.split()
-            if w and any(w == o or (min(len(w), len(o)) >= line_dedup.MIN_WORDS and line_dedup.within_one(w, o)) for o in seen):
+            if w and any(w == o or brute_same(w, o) for o in seen):
                 seen.append(w)
                 continue
             if w:
@@ -74,6 +91,10 @@ def edit(rng, line):
     w = list(line)
     if not w:
         return ["x"]
+    if rng.randrange(2):
+        text = " ".join(w)
+        i = rng.randrange(len(text))
+        return (text[:i] + rng.choice(["", "é", " ", "q"]) + text[i + rng.randrange(2) :]).split() or ["x"]
     i, kind = rng.randrange(len(w)), rng.randrange(3)
     if kind == 0:
         w[i] = "new" + str(rng.randrange(50))
@@ -112,6 +133,29 @@ def test_line_dedup_keeps_the_first_line_of_repeated_rows(spark):
     assert got == sorted([(1, a), (1, a), (2, b), (2, b), (3, rows[-1][1]), (None, "k l m n o p q r s t"), (None, "k l m n o p q r s t")], key=str)
 
 
+def thue_morse(n):
+    """Two different texts of 2 ** n letters whose polynomials modulo 2 ** 64 are equal for every odd base."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_collide_as_polynomials_stay_apart(spark):
+    x, y = thue_morse(10)
+    for rows in ([(1, x), (2, y)], [(1, f"p q r s {x} t u v w z"), (2, f"p q r s {y} t u v w z {x}")], [(1, " ".join(x)), (2, " ".join(y))]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        assert [r["text"] for r in line_dedup.dedup_lines(frame).orderBy("doc_id").collect()] == [t for _, t in brute_lines(rows)] == [t for _, t in rows]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame).collect()}
+        assert got == brute_components(rows)
+
+
+def test_short_lines_have_a_neighbourhood(spark):
+    rows = [(1, "Subscribe to our newsletter\nPage 1\n2\nab cd ef gh ij kl mn op"), (2, "Subscribe to our newsletters\nPage 2\n3\nab cd ef gh ij kl mnop")]
+    got = [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [rows[0][1], "Page 2\n3"]
+
+
 @pytest.mark.parametrize("n", range(8, 70))
 def test_half_never_exceeds_half(n):
     assert 3 <= line_dedup.half(np.array([n]))[0] <= (n - 1) / 2
