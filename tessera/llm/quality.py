@@ -5,8 +5,10 @@ and bad, links them; forward-backward gives each line's marginal probability of
 lines' lengths, are the document's quality.
 
 The field is fitted on a bounded sample of labelled documents (TRAIN_DOCS of each label, those with at most TRAIN_LINES
-lines), weighted to the frequency of the labels among all; every line has its document's label. Only the sample's line
-features reach the driver. Scoring is one pass over whole texts without a shuffle.
+lines), weighted to the frequency of the labels among all. Labels of lines are latent: a document's label is evidence
+for each of its lines, with odds of exp(EVIDENCE), and the likelihood sums over all labellings of the lines. So a line
+of a bad document that looks like those of good ones is good, and the field learns where labels change inside a text.
+Only the sample's line features reach the driver. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tessera.llm.shingles import mix64, word_hashes
 TRAIN_DOCS, TRAIN_LINES = 1500, 200
 #: Steps of gradient ascent, and the weight of the squared norm.
 STEPS, RIDGE = 300, 1e-5
+#: How much a document's label says about each of its lines, in log odds.
+EVIDENCE = 2.0
 
 #: A class for each byte. 0 lower case, 1 upper case, 2 digit, 3 white space, 4 end of a sentence, 5 other marks of prose, 6 other symbols, 7 not ASCII.
 _CLASS = np.full(256, 6, np.uint8)
@@ -134,24 +138,26 @@ def _forward_backward(score: np.ndarray, pair: np.ndarray, lines: np.ndarray) ->
     return gamma[:, 1] / gamma.sum(axis=1), both[back], logs[back]
 
 
-def fit_field(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> LineField:
-    """Maximum likelihood with a ridge, by Adam; a row of features per line of each document, one label and weight per document."""
+def fit_field(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, evidence: float = EVIDENCE) -> LineField:
+    """Maximum likelihood of the documents' labels with a ridge, by Adam; a row of features per line of each document, one label and weight per document.
+
+    The slope is the difference of two expectations: given the documents' labels as evidence for lines, and without it.
+    """
     lines = np.array([len(f) for f in features], np.int64)
     x = _observed(np.concatenate(features).astype(np.float64), lines)
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     centre[-1], spread[-1] = 0.0, 1.0
     x = (x - centre) / spread
-    label = np.repeat(labels, lines).astype(np.float64)
+    told = np.repeat(evidence * (2.0 * labels - 1.0), lines)
     share = weights / (weights * lines).sum()
     per_line = np.repeat(share, lines)
     field = LineField(np.zeros(x.shape[1]), np.zeros((2, 2)))
-    wanted = np.zeros((2, 2))
-    for y in (0, 1):
-        wanted[y, y] = (share * (lines - 1))[labels == y].sum()
     m = v = np.zeros(x.shape[1] + 4)
     for step in range(1, steps + 1):
-        good, both, _ = field.marginals(x, lines)
-        slope = np.concatenate(((x.T @ (per_line * (label - good))), (wanted - (both * share[:, None, None]).sum(axis=0)).ravel()))
+        score = x @ field.weights
+        good, both, _ = _forward_backward(score, field.pairs, lines)
+        given, pairs, _ = _forward_backward(score + told, field.pairs, lines)
+        slope = np.concatenate((x.T @ (per_line * (given - good)), ((pairs - both) * share[:, None, None]).sum(axis=0).ravel()))
         now = np.concatenate((field.weights, field.pairs.ravel()))
         slope -= RIDGE * now
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
@@ -195,7 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS,
     return fit_field(features, y, weight)
 
 
-def _scorer(field: LineField):
+def _scorer(field: LineField, marginals: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x, length, lines = line_features(encoded(batch.column("text")))
@@ -204,20 +210,23 @@ def _scorer(field: LineField):
             weight = length + 1
             score = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
             bad = np.add.reduceat(good < 0.5, first, dtype=np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(np.clip(score, 0.0, 1.0)), "n_lines": pa.array(lines), "bad_lines": pa.array(bad), "line_marginals": pa.array([g.astype(np.float32) for g in np.split(good, first[1:])], pa.list_(pa.float32()))})
+            out = {"doc_id": batch.column("doc_id"), "score": pa.array(np.clip(score, 0.0, 1.0)), "n_lines": pa.array(lines), "bad_lines": pa.array(bad)}
+            if marginals:
+                out["line_marginals"] = pa.array([g.astype(np.float32) for g in np.split(good, first[1:])], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, score, n_lines, bad_lines, line_marginals (probability of good, by line).
+def score_quality(docs: DataFrame, field: LineField, marginals: bool = False) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, score, n_lines, bad_lines, and, if asked, line_marginals (probability of good, by line).
 
     A null text counts as empty, and an empty text is one empty line, which the field scores as any other. Texts are
     read whole; a null doc_id is kept and repeated rows are scored alike. Other columns are ignored; an empty table
     gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scorer(field), "doc_id long, score double, n_lines long, bad_lines long, line_marginals array<float>")
+    return texts.mapInArrow(_scorer(field, marginals), "doc_id long, score double, n_lines long, bad_lines long" + ", line_marginals array<float>" * marginals)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
