@@ -8,7 +8,8 @@ are grouped aggregates over all rows, by the language that the text alone sugges
 each language, how often they lie under each suffix, and the languages of every host. Host priors are smoothed
 hierarchically: a host borrows from its domain, the domain from all rows. Evidence that a row lacks is left out.
 
-Texts are read once; what is shuffled afterwards are ids and a likelihood per language.
+Texts are read three times, whatever the number of languages: to count declarations, to take the sample, and for their
+likelihoods. What is shuffled afterwards are ids and a likelihood per language.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import encoded, materialise, pieces, table
@@ -26,8 +27,8 @@ from tessera.llm.url_filters import url_host
 
 #: The bound of the training sample: documents of each declared language.
 TRAIN_DOCS = 400
-#: A language needs so many declared rows to be known.
-MIN_DECLARED = 5
+#: A language needs so many declared rows to be known, and is among the most frequent, so that the model is bounded.
+MIN_DECLARED, MAX_LANGUAGES = 5, 256
 #: Trigrams are hashed to so many bits.
 BITS = 16
 #: Pseudo-counts: of a trigram, of a declaration or suffix, of the parent in a host's prior.
@@ -74,14 +75,21 @@ def _letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_text(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> TextModel:
-    """rows: text, declared. Languages are those that at least MIN_DECLARED rows declare."""
+    """rows: text, declared. Languages are those that at least MIN_DECLARED rows declare, the MAX_LANGUAGES most frequent ones.
+
+    The sample of a language are its train_docs distinct texts with the least hashes. Where fewer than half of the rows
+    are distinct, it may be smaller, as twice the share of rows that gives so many is looked at.
+    """
     named = rows.where("declared is not null and declared <> '' and text is not null and text <> ''")
-    known = sorted(r["declared"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DECLARED).collect())
-    hashed = named.select("declared", "text", F.xxhash64("text").alias("h"))
-    sample = None
-    for x in known:
-        part = hashed.where(F.col("declared") == x).select("declared", "h").distinct().orderBy("h").limit(train_docs)
-        sample = part if sample is None else sample.union(part)
+    counted = named.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DECLARED).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
+    counted = materialise(counted)
+    known = sorted(r["declared"] for r in counted.collect())
+    # One pass: texts whose hash is among the first are read with them; twice the share that is needed, and the least of those.
+    share = F.least(F.lit(1.0), (2 * train_docs + 50) / F.col("n"))
+    hashed = named.select("declared", "text", F.xxhash64("text").alias("h")).join(F.broadcast(counted), "declared")
+    likely = hashed.where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40)).dropDuplicates(["declared", "h"])
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    sample = likely.withColumn("rank", rank).where(F.col("rank") <= train_docs).select("declared", "text")
     width = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +102,8 @@ def fit_text(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> TextModel:
         yield pa.RecordBatch.from_pydict({"declared": pa.array(list(total), pa.string()), "counts": pa.array([c.astype("<i8").tobytes() for c in total.values()], pa.binary())})
 
     counts = {x: np.zeros(width) for x in known}
-    if sample is not None:  # texts of the sample, each once: at most train_docs per language, in one task
-        texts = hashed.join(F.broadcast(sample), ["declared", "h"]).groupBy("declared", "h").agg(F.first("text").alias("text"))
-        for r in texts.coalesce(1).mapInArrow(count, "declared string, counts binary").collect():
-            counts[r["declared"]] += np.frombuffer(bytes(r["counts"]), "<i8")
+    for r in sample.mapInArrow(count, "declared string, counts binary").toLocalIterator():  # at most a row per language and task
+        counts[r["declared"]] += np.frombuffer(bytes(r["counts"]), "<i8")
     columns = [np.log((counts[x] + TRIGRAM_COUNT) / (counts[x] + TRIGRAM_COUNT).sum()) for x in known]
     return TextModel([*known, UNKNOWN], np.stack([*columns, np.full(width, -np.log(width))], axis=1).astype(np.float32))
 
