@@ -5,7 +5,11 @@ the longest fitting rule wins. A url that no rule fits takes the decision of its
 component over redirect and canonical-link edges: links that pages declare (<link rel=canonical>, <meta refresh>), rows
 of an optional redirect table, and the address without tracking parameters and trailing slash, which is its canonical
 form. In a component an explicit allow takes precedence: a block spreads to the aliases without a rule only if no
-member is explicitly allowed.
+member is explicitly allowed. A rule that is listed with both verdicts allows.
+
+References in pages are resolved as in RFC 3986, against the page's address or its <base href>: with a scheme, from
+"//", "/", "?" or a segment on, with dot segments removed and character references of "&" decoded. References to
+fragments, and schemes without "//", are no links.
 """
 
 from __future__ import annotations
@@ -53,6 +57,14 @@ def _canonical(node: Column) -> Column:
     return F.when(query == "", path).otherwise(F.concat(path, F.lit("?"), query))
 
 
+def _decided(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Each rule once; allow, where both verdicts are given."""
+    found: dict[tuple[str, str], str] = {}
+    for host, path, verdict in rules:
+        found[host, path] = "allow" if found.get((host, path)) == "allow" else verdict
+    return [(host, path, verdict) for (host, path), verdict in found.items()]
+
+
 def _fitting(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """rule and verdict of the longest fitting rule, as a struct of nulls if none fits."""
     out = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
@@ -77,17 +89,62 @@ def _ruled(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return rows.join(best, ["host", "path"], "left").withColumn("fit", F.coalesce("fit", _fitting(F.col("host"), F.col("path"), [])))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, trimmed, with references of "&" decoded; empty if it isn't there."""
+    value = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\"'\s>]+)", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(value, r"^[\"']|[\"']$", ""), r"(?i)&(amp;?|#0*38;|#x0*26;)", "&"))
+
+
+def _tags(html: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)({pattern})"), F.lit(1))
+
+
 def declared_links(html: Column) -> Column:
     """Targets of canonical links and meta refreshes in a page, as written."""
-    links = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
-    targets = F.concat(
-        F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-        F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-    )
+    links = _tags(html, r"<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
+    metas = _tags(html, r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
+    refresh = lambda x: F.regexp_replace(F.regexp_extract(_attribute(x, "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"^[\"']|[\"']$", "")
+    targets = F.concat(F.transform(links, lambda x: _attribute(x, "href")), F.transform(metas, lambda x: F.trim(refresh(x))))
     return F.filter(F.coalesce(targets, F.array().cast("array<string>")), lambda x: x != "")
 
 
+def base_reference(html: Column) -> Column:
+    """The first <base href> of a page, as written; null if there is none."""
+    return F.nullif(_attribute(F.regexp_extract(html, r"(?is)(<base\b[^>]*\bhref\s*=[^>]*>)", 1), "href"), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its segments "." and ".."."""
+    steps = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(rows: DataFrame, reference: str, base: str, name: str) -> DataFrame:
+    """rows with a column: the absolute url of a reference in a page at base; null where it is none, or needs a base that has no host.
+
+    Step by step, as an expression that names its parts many times would grow with every step.
+    """
+    path = F.regexp_extract("__base.2", r"(?s)^(.*/)", 1)
+    steps = rows.withColumn("__base", F.struct(F.regexp_extract(base, r"(?s)^(.*?)://", 1).alias("0"), F.regexp_extract(base, _URL, 1).alias("1"), url_path(F.col(base)).alias("2")))
+    steps = steps.withColumn("__bare", F.regexp_extract(reference, r"(?s)^([^#]*)", 1))
+    steps = steps.withColumn("__ref", F.struct(F.regexp_extract("__bare", r"(?s)^([^?]*)", 1).alias("0"), F.regexp_extract("__bare", r"(?s)(\?.*)$", 1).alias("1")))
+    steps = steps.withColumn("__path", F.when(F.col("__bare").startswith("/"), F.col("__ref.0")).otherwise(F.concat(F.when(path == "", "/").otherwise(path), F.col("__ref.0"))))
+    root = F.concat("__base.0", F.lit("://"), "__base.1")
+    found = (
+        F.when(F.col("__bare") == "", None)
+        .when(F.col("__bare").rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("__bare"))
+        .when(F.col("__bare").rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:") | (F.col("__base.1") == ""), None)
+        .when(F.col("__bare").startswith("//"), F.concat("__base.0", F.lit(":"), "__bare"))
+        .when(F.col("__bare").startswith("?"), F.concat(root, F.when(F.col("__base.2") == "", "/").otherwise(F.col("__base.2")), "__bare"))
+        .otherwise(F.concat(root, "__path", "__ref.1"))
+    )
+    return steps.withColumn("__path", _without_dots(F.col("__path"))).withColumn(name, found).drop("__base", "__bare", "__ref", "__path")
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, host, path, rule, verdict, via_alias.
 
@@ -95,12 +152,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects:
     and no aliases, and is allowed; a null html declares no links. Repeated rows are judged alike. Other columns of
     pages are ignored. An empty table gives an empty result.
     """
+    rules = _decided(rules)
     url = F.col("url").cast("string")
     html = F.col("html").cast("string") if "html" in pages.columns else F.lit(None).cast("string")
     base = pages.select("page_id", url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"), _node(url).alias("node"))
-    linked = pages.select(url.alias("url"), _node(url).alias("src"), F.explode(declared_links(html)).alias("to"))
-    absolute = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), url_host(F.col("url")), "to"))
-    edges = linked.select("src", _node(absolute).alias("dst"))
+    linked = pages.select(url.alias("url"), base_reference(html).alias("base"), declared_links(html).alias("links")).where(F.size("links") > 0)
+    linked = resolved(linked, "base", "url", "base").select("url", F.coalesce("base", "url").alias("base"), F.explode("links").alias("to"))
+    edges = resolved(linked, "to", "base", "to").where("to is not null").select(_node(F.col("url")).alias("src"), _node(F.col("to")).alias("dst"))
     if redirects is not None:
         edges = edges.union(redirects.select(_node(F.col("src_url")), _node(F.col("dst_url"))))
     ends = edges.where("dst is not null").select(F.explode(F.array("src", "dst")).alias("node")).union(base.select("node"))
