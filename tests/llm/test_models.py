@@ -89,6 +89,35 @@ def test_blocks_spread_over_declared_links_and_allows_take_precedence(spark):
     got = {r["page_id"]: (r["verdict"], r["via_alias"]) for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), url_filters.RULES, redirects).collect()}
     assert got == {1: ("block", True), 2: ("block", True), 3: ("allow", False), 4: ("allow", False), 5: ("allow", False), 6: ("allow", False), 7: ("block", True), None: ("allow", False)}
     assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), url_filters.RULES).collect() == []
+    both = [("bad.net", "/", "block"), ("bad.net", "/", "allow")]
+    for rules in (both, both[::-1], both + [(f"h{i}.test", "/", "block") for i in range(300)]):
+        assert {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame([(1, "http://bad.net/p", None)], "page_id long, url string, html string"), rules).collect()} == {1: "allow"}
+
+
+REFERENCES = ["../de/q.html", "main.html", "?x=1", "/a/./b/../c", "//Other.org/z", "http://k.net/p?a=1&b=2#f", "#top", "mailto:a@b.c", "../../../up", "./", "..", "d/e/", "x?y=/../z", "", "g;p=1", ".x"]
+
+
+def test_references_are_resolved_as_the_standard_says(spark):
+    from urllib.parse import urldefrag, urljoin, urlsplit, urlunsplit
+
+    bases = ["http://example.com/en/p.html", "https://h.org", "http://h.org/a/b/?q=1/2", "http://h.org/a/b/c"]
+    rows = [(i, r, b) for i, (r, b) in enumerate(itertools.product(REFERENCES, bases))]
+    got = {x["i"]: x["to"] for x in url_filters.resolved(spark.createDataFrame(rows, "i int, ref string, base string"), "ref", "base", "to").collect()}
+    for i, ref, base in rows:
+        want = urldefrag(urljoin(base, ref))[0] if urldefrag(ref)[0] and not ref.startswith("mailto:") else None
+        if want and urlsplit(want).path == "":
+            want = urlunsplit(urlsplit(want)._replace(path="/"))
+        assert got[i] == want, (ref, base)
+
+
+def test_blocks_spread_over_relative_links(spark):
+    """The verdicts of linked pages against union-find over links that Python's own library resolves."""
+    pages = [
+        (1, "http://example.com/en/p.html", "<link rel=canonical href='../de/q.html'>"), (2, "http://foo.com/a", '<link rel="canonical" href="http://bar.com/?x=1&amp;y=2">'), (3, "http://bar.com/?x=1&y=2", "<meta http-equiv='refresh' content=\"0; URL='http://evil.net/'\">"),
+        (4, "http://b.org/x/y", "<base href='http://evil.net/en/'><link rel=canonical href=z>"), (5, "http://b.org/x/z", "<link rel=canonical href='#top'>"), (6, "http://c.org/k", "<link href=/k?ref=1 rel=canonical>"), (7, "http://d.org/1", "<link rel=canonical href=2>"), (8, "http://d.org/2", "<link rel=canonical href='//example.net/en/ok'>"), (9, "http://d.org/3", "<link rel=canonical href=1><link rel=canonical href=//x.net/>"),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["via_alias"]) for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), url_filters.RULES).collect()}
+    assert got == {1: ("block", True), 2: ("block", True), 3: ("block", True), 4: ("block", True), 5: ("allow", False), 6: ("allow", False), 7: ("allow", False), 8: ("allow", False), 9: ("allow", False)}
 
 
 # Fingerprints
@@ -132,9 +161,14 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], schema)).collect() == []
     (alone,) = fingerprints.fingerprint_edits(spark.createDataFrame([(1, "abcd", "z")], schema)).collect()
     assert alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and alone["near_next"] == 1
-    rows = [(1, "a b", "z"), (1, "a b", "z"), (None, "c d", "z"), (2, None, None)]
-    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {2: hashlib.sha256(b"").hexdigest(), 1: hashlib.sha256(b"a c").hexdigest(), None: hashlib.sha256(b"c ").hexdigest()}
+    rows = [(1, "a b", "z"), (1, "a b", "z"), (1, "a b", "y"), (1, "x yz", "z"), (None, "c d", "z"), (None, "c d", "z"), (2, None, None)]
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, schema)).collect()]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(got) == len(rows) and (2, 0, sha("")) in got
+    one = sorted(h for i, n, h in got if i == 1 and n == 3)  # two are followed by their like, one by the other text or null
+    assert one.count(sha("a a")) == 2 and (set(one) - {sha("a a")}) <= {sha("a x"), sha("a c")} and len(one) == 3
+    assert [h for i, n, h in got if i == 1 and n == 4] in ([sha("x a ")], [sha("x c ")])
+    assert sorted(h for i, _, h in got if i is None) == sorted([sha("c c"), sha("c ")])
 
 
 # Quality
@@ -180,11 +214,28 @@ def test_quality_of_held_out_documents(spark):
     held = [i for i in truth if i % 3 == 1]
     assert sum((got[i] >= 0.5) == truth[i] for i in held) / len(held) > 0.97
     odd = docs.sparkSession.createDataFrame([(None, None, 1), (2, "", 1), (3, "word " * 200_000, 1), (3, "\n" * 5000, 1)], "doc_id long, text string, score long")
-    rows = quality.score_quality(odd, field).collect()
+    rows = quality.score_quality(odd, field, marginals=True).collect()
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows) and len(rows[3]["line_marginals"]) == 5001
     assert quality.score_quality(docs.limit(0), field).collect() == []
 
 
+def test_labels_of_lines_are_latent(spark):
+    """Good lines inside a bad document are good: marginals follow the lines, and change inside a text."""
+    docs, labels, _ = quality_rows(spark)
+    rng = random.Random(8)
+    good, bad = "The river walks slowly of the green house and the river walks slowly.", "$$$ BUY!! win%% NOW!! ### $$$ BUY!! win%% NOW!! ###"
+    mixed = [(1000 + i, "\n".join([good] * 3 + [bad] * 3 + [good] * 3 if i % 2 else [bad] * 3 + [good] * 3 + [bad] * 3)) for i in range(60)]
+    rng.shuffle(mixed)
+    every = docs.union(spark.createDataFrame(mixed, "doc_id long, text string"))
+    known = labels.union(spark.createDataFrame([(i, i % 2) for i, _ in mixed], "doc_id long, quality int"))
+    field = quality.fit_quality(every, known)
+    rows = quality.score_quality(every.where("doc_id >= 1000"), field, marginals=True).collect()
+    for r in rows:
+        found = [x >= 0.5 for x in r["line_marginals"]]
+        want = [True] * 3 + [False] * 3 + [True] * 3 if r["doc_id"] % 2 else [False] * 3 + [True] * 3 + [False] * 3
+        assert found == want and max(r["line_marginals"]) - min(r["line_marginals"]) > 0.5
+
+
 def test_quality_without_labels(spark):
     docs, labels, _ = quality_rows(spark)
     assert {round(r["score"], 6) for r in quality.score_quality(docs, quality.fit_quality(docs, labels.limit(0))).collect()} == {0.5}
