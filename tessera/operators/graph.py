@@ -84,22 +84,24 @@ def paths(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """file_id, path, depth of files (file_id, name, parents, optional paths).
 
     A stored path wins; otherwise names are joined along first parents, up to a parent with a stored path, an unknown
-    parent or max_depth. Rows double the distance that they know in each round, so a round count is logarithmic in depth.
+    parent or max_depth parents. Rows double the distance that they know in each round, so a round count is logarithmic
+    in depth; what a last round knows beyond max_depth is cut off.
     """
     stored = F.nullif(normalize_path(F.get("paths", F.lit(0))), F.lit("")) if "paths" in files.columns else F.lit(None).cast("string")
     known = files.select("file_id", "name", stored.alias("stored"), F.get("parents", F.lit(0)).alias("up"))
     ids = known.select(F.col("file_id").alias("_id"))
     start = known.join(ids, known["up"] == ids["_id"], "left")
-    # path: joined names so far; up: the next ancestor, null at the end; depth: the ancestors in path.
-    now = materialise(start.select("file_id", F.coalesce("stored", "name").alias("path"), F.when(F.col("stored").isNull(), F.col("_id")).alias("up"), F.lit(0).alias("depth")))
+    # steps: names so far, from the highest ancestor; up: the next ancestor, null at the end; depth: the ancestors in steps.
+    now = materialise(start.select("file_id", F.array(F.coalesce("stored", "name")).alias("steps"), F.when(F.col("stored").isNull(), F.col("_id")).alias("up"), F.lit(0).alias("depth")))
     steps = 1
     while steps <= max_depth and not now.where("up is not null").isEmpty():
-        above = now.select(F.col("file_id").alias("_id"), F.col("path").alias("_path"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        above = now.select(F.col("file_id").alias("_id"), F.col("steps").alias("_steps"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         met = now.join(above, now["up"] == above["_id"], "left")
         on = F.col("_id").isNotNull()
-        now = materialise(met.select("file_id", F.when(on, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path"), F.when(on, F.col("_up")).alias("up"), F.when(on, F.col("depth") + F.col("_depth") + 1).otherwise(F.col("depth")).alias("depth")))
+        now = materialise(met.select("file_id", F.when(on, F.concat("_steps", "steps")).otherwise(F.col("steps")).alias("steps"), F.when(on, F.col("_up")).alias("up"), F.when(on, F.col("depth") + F.col("_depth") + 1).otherwise(F.col("depth")).alias("depth")))
         steps *= 2
-    return now.select("file_id", "path", "depth")
+    nearest = F.slice("steps", F.greatest(F.size("steps") - max_depth, F.lit(1)), F.lit(max_depth + 1))
+    return now.select("file_id", F.array_join(nearest, "/").alias("path"), F.least("depth", F.lit(max_depth)).alias("depth"))
 
 
 def topological(files: DataFrame) -> DataFrame:

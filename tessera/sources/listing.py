@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import base64
+import os
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ancestors, base_name, epoch_seconds, is_native_document, native_export, normalize_path, parent_path, strip_drive_root, unescape_octal
+from tessera.lineage import materialise
 from tessera.operators.exclude import exclude, excluded, parse_rules
 
 #: Fixed value: an attribute that systems set on their own.
@@ -15,23 +20,96 @@ SKIPPED_XATTRS = ("com.apple.provenance",)
 _FOLDER = "application/vnd.google-apps.folder"
 
 
-def local_files(spark: SparkSession, root: str, patterns: Iterable[str] = (), with_content: bool = False) -> DataFrame:
-    """file_id (path below root), name, type, parents, size, mtime of all files under root and of their folders, without excluded ones.
+_FOUND = "path string, is_folder boolean, size long, mtime long, mode int, uid long, gid long, xattrs map<string,string>"
 
-    Files are listed and read by executors; the content column is only read where it is wanted.
+
+def _scanner(root: str, with_xattrs: bool):
+    def attributes(path: str) -> list[tuple[str, str]] | None:
+        if not with_xattrs:
+            return None
+        try:
+            return [(n, base64.b64encode(os.getxattr(path, n, follow_symlinks=False)).decode()) for n in sorted(os.listxattr(path, follow_symlinks=False))]
+        except OSError:  # a file system without attributes, or a file that has gone
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()))
+        names = ("path", "is_folder", "size", "mtime", "mode", "uid", "gid", "xattrs")
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = []
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for e in entries:
+                        at = e.stat(follow_symlinks=False)
+                        rows.append((f"{folder}/{e.name}" if folder else e.name, e.is_dir(follow_symlinks=False), at.st_size, int(at.st_mtime), at.st_mode & 0o7777, at.st_uid, at.st_gid, attributes(e.path)))
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+    return run
+
+
+def _walked(spark: SparkSession, root: str, rules: list, with_xattrs: bool) -> DataFrame:
+    """All entries below a folder that executors mount, level by level: a task lists its folders, hidden and empty ones too.
+
+    An excluded folder isn't entered, symbolic links aren't followed.
+    """
+    frontier, levels = spark.range(1).select(F.lit("").alias("path")), []
+    while True:
+        found = materialise(frontier.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_scanner(root, with_xattrs), _FOUND))
+        levels.append(found)
+        frontier = found.where("is_folder").select("path")
+        if rules:
+            frontier = frontier.where(~excluded(rules, F.col("path"), F.lit(True)))
+        if frontier.isEmpty():
+            return reduce(DataFrame.union, levels)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """The same for other file systems, through Hadoop's listing on the driver, as Spark's own readers do it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(where).toString().rstrip("/") + "/"
+    rows, todo = [], [where]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            rows.append((s.getPath().toString()[len(base) :], s.isDirectory(), s.getLen(), s.getModificationTime() // 1000, int(s.getPermission().toShort()), None, None, None))
+            if s.isDirectory():
+                todo.append(s.getPath())
+    return spark.createDataFrame(rows, _FOUND)
+
+
+def _reader(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (path, folder) in enumerate(zip(batch.column("path").to_pylist(), batch.column("is_folder").to_pylist(), strict=True)):
+                body = None
+                if not folder:
+                    with open(os.path.join(root, path), "rb") as f:
+                        body = f.read()
+                one = batch.slice(i, 1)  # one file at a time
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([body], pa.binary())], names=[*one.schema.names, "content"])
+
+    return run
+
+
+def local_files(spark: SparkSession, root: str, patterns: Iterable[str] = (), with_content: bool = False, with_metadata: bool = False, namespaces: Iterable[str] = ()) -> DataFrame:
+    """file_id (path below root), name, type, parents, size, mtime of all files and folders under root, without excluded ones.
+
+    Hidden files and empty folders are listed too. with_content adds content, read by executors; with_metadata adds mode,
+    uid, gid and xattrs (those of the namespaces, all if none is given; values in base64).
     """
     rules = parse_rules(patterns)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    path = F.substring_index(F.col("path"), base, -1)
-    more = [F.col("content")] if with_content else []
-    files = read.select(path.alias("path"), F.lit(False).alias("is_folder"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), *more)
-    folders = files.select(F.explode(ancestors(F.col("path"))).alias("path")).where("path <> ''").distinct()
-    folders = folders.select("path", F.lit(True).alias("is_folder"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime"), *[F.lit(None).cast("binary").alias("content") for _ in more])
-    kept = files.union(folders)
-    if rules:
-        kept = exclude(kept, rules)
+    folder = root.removeprefix("file://").removeprefix("file:")
+    local = "://" not in folder
+    found = _walked(spark, folder, rules, with_metadata) if local else _listed(spark, root)
+    kept = exclude(found, rules) if rules else found
+    more: list[Column | str] = []
+    if with_content:
+        if not local:
+            raise ValueError("content is read from folders that executors mount; read other file systems with spark.read.format('binaryFile')")
+        kept = kept.mapInArrow(_reader(folder), _FOUND + ", content binary")
+        more.append("content")
+    if with_metadata:
+        more += ["mode", "uid", "gid", collected_xattrs(F.col("xattrs"), namespaces).alias("xattrs")]
     parent = parent_path(F.col("path"))
     parents = F.when(parent == "", F.array().cast("array<string>")).otherwise(F.array(parent))
     return kept.select(F.col("path").alias("file_id"), base_name(F.col("path")).alias("name"), F.when(F.col("is_folder"), "folder").otherwise("file").alias("type"), parents.alias("parents"), "size", "mtime", *more)

@@ -182,6 +182,13 @@ def test_paths_and_order(spark):
     assert order.index("s") < order.index("d") < order.index("f")
 
 
+def test_paths_have_at_most_fifty_parents(spark):
+    rows = [(str(i), f"n{i}", [str(i - 1)] if i else [], None) for i in range(70)]
+    got = {r["file_id"]: (r["path"], r["depth"]) for r in graph.paths(spark.createDataFrame(rows, "file_id string, name string, parents array<string>, paths array<string>")).collect()}
+    for i in range(70):
+        assert got[str(i)] == ("/".join(f"n{j}" for j in range(max(0, i - 50), i + 1)), min(i, 50))
+
+
 def test_stored_paths_and_cycles(spark):
     rows = [("d", "docs", [], ["work\\docs/"]), ("f", "guide.txt", ["d"], None), ("x", "x", ["y"], None), ("y", "y", ["x"], None)]
     got = {r["file_id"]: r["path"] for r in graph.paths(spark.createDataFrame(rows, "file_id string, name string, parents array<string>, paths array<string>")).collect()}

@@ -13,13 +13,27 @@ def test_local_files(spark, tmp_path):
     for name, body in {"a.txt": "1", "sub/b.log": "22", "sub/deep/c.txt": "333", "skip/d.txt": "4"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
-    got = {r["file_id"]: (r["type"], r["parents"], r["size"]) for r in listing.local_files(spark, str(tmp_path), ["*.log", "skip/"]).collect()}
+    got = {r["file_id"]: (r["type"], r["parents"], r["size"] * (r["type"] == "file")) for r in listing.local_files(spark, str(tmp_path), ["*.log", "skip/"]).collect()}
     assert got == {"a.txt": ("file", [], 1), "sub": ("folder", [], 0), "sub/deep": ("folder", ["sub"], 0), "sub/deep/c.txt": ("file", ["sub/deep"], 3)}
     files = listing.local_files(spark, str(tmp_path), with_content=True)
     assert tuple(listing.source_size(files).first()) == (7, 4)
     assert bytes(files.where("file_id = 'sub/b.log'").first()["content"]) == b"22"
 
 
+def test_local_files_lists_hidden_files_and_empty_folders(spark, tmp_path):
+    for name in ("a/x.txt", ".bashrc", "_private.txt", ".git/config", "a/_y"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty/sub").mkdir(parents=True)
+    os.symlink(str(tmp_path / "a"), str(tmp_path / "link"))
+    os.chmod(tmp_path / "a/x.txt", 0o640)
+    files = listing.local_files(spark, str(tmp_path), with_metadata=True).collect()
+    assert {r["file_id"]: r["type"] for r in files} == {"a": "folder", "a/x.txt": "file", ".bashrc": "file", "_private.txt": "file", ".git": "folder", ".git/config": "file", "a/_y": "file", "empty": "folder", "empty/sub": "folder", "link": "file"}
+    assert {r["file_id"]: r["mode"] for r in files}["a/x.txt"] == 0o640 and all(r["mtime"] for r in files)
+    other = listing._listed(spark, f"file://{tmp_path}")
+    assert {r["path"] for r in other.collect()} >= {r["file_id"] for r in files} - {"link"}
+
+
 def test_restore_to_folder_and_zip(spark, tmp_path):
     rows = [("d", "folder", None, None), ("d/x.txt", "file", b"hello", 1_000_000_000), ("y.txt", "file", b"", None)]
     files = spark.createDataFrame(rows, "path string, type string, content binary, mtime long")
