@@ -3,32 +3,40 @@
 Texts are equal when they are identical without ASCII white space. The hash of that form is the key. Owner tasks get
 ranges of keys (their leading bits) in key order and load the index in bulk: a bucket that holds more than its
 capacity splits on the next bit of its keys, and where a bucket needs more bits than the owner's directory has, the
-directory doubles. Texts with one key form a chain and are told apart by comparing bytes. The index (bucket, depth,
-key, chain, the row that stays, size of the group) is a checkpoint of the session; no lookup goes through its buckets.
+directory doubles. Texts with one key form a chain and are told apart by comparing bytes.
 
-A hot group is folded before the shuffle: each Arrow batch sends one text per distinct content with the count and the
-best row, so an owner gets at most one copy per batch. Rows find their group by an equi-join on key and digest, without
-texts, which adaptive execution splits where a group is large.
+The index is three tables in the shared folder: the owners with the bits of their directories, the directories (slot ->
+bucket), and the buckets' entries (key, digest, the row that stays, size of the group). Every row finds its group by a
+probe: the leading bits of its key name the owner, the next ones the slot, the slot the bucket, and in the bucket key and
+digest name the entry. save() and load() keep an index for later batches, which probe it the same way.
+
+A hot group is folded before the shuffle: each piece of a batch sends one text per distinct content with the count and the
+best row, and of a long text a task sends the bytes once, so an owner gets few copies. Probes carry no texts, and
+adaptive execution splits them where a group is large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise, pieces, table, text_or_empty
+from tessera.llm.shared import PIECE_BYTES, pieces, sided, table, text_or_empty, written_table
 
 #: Entries of a bucket before it splits.
 BUCKET_ENTRIES = 4096
-#: Leading key bits that name an owner's range: 1,024 ranges, dealt to as many tasks as the shuffle has.
-OWNER_BITS = 10
+#: Rows of an owner, which bounds a task's memory, and the least bits that name one: ranges are dealt to as many tasks as the shuffle has.
+OWNER_ROWS, OWNER_BITS = 1 << 18, 10
+#: Bits of an owner's directory at most; a bucket that would need more keeps all its entries.
+MAX_DIRECTORY_BITS = 20
 
 _WHITE = " \t\n\x0b\x0c\r"
 _LOCAL = "key long, digest string, form string, best_chars long, best_id long, copies long"
-_INDEX = "owner int, directory_bits int, bucket long, bucket_bits int, key long, digest string, chain int, keep_id long, group_size long"
+_LOADED = "owner int, bits int, slot long, slots long, bucket long, key long, digest string, keep_id long, group_size long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -43,7 +51,8 @@ def _better(n: int, doc_id: int | None, best: list) -> bool:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each piece of a batch one row per distinct form."""
+    """Of each piece of a batch one row per distinct form; a long form only the first time, then its digest stands for it."""
+    sent: set[str] = set()
     for batch in pieces(batches, "form"):
         seen: dict[str, list] = {}
         for doc_id, n, form, digest, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "form", "digest", "key")), strict=True):
@@ -51,19 +60,24 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[2] += 1
             if _better(n, doc_id, held):
                 held[:2] = n, doc_id
-        rows = list(seen.items())
+        rows = []
+        for form, v in seen.items():
+            long = len(form) > PIECE_BYTES // 4
+            rows.append((None if long and v[3] in sent else form, v))
+            if long:
+                sent.add(v[3])
         yield pa.RecordBatch.from_pydict({
             "key": pa.array([v[4] for _, v in rows], pa.int64()), "digest": pa.array([v[3] for _, v in rows], pa.string()), "form": pa.array([k for k, _ in rows], pa.string()),
             "best_chars": pa.array([v[0] for _, v in rows], pa.int64()), "best_id": pa.array([v[1] for _, v in rows], pa.int64()), "copies": pa.array([v[2] for _, v in rows], pa.int64()),
         })
 
 
-def split_buckets(keys: list[int], prefix: int, bits: int, capacity: int) -> list[tuple[int, int, int, int]]:
-    """(prefix, bits, start, end) of the buckets of sorted unsigned 64-bit keys; equal keys are one entry of a chain and never split."""
+def split_buckets(keys: list[int], prefix: int, bits: int, capacity: int, most: int = 64) -> list[tuple[int, int, int, int]]:
+    """(prefix, bits, start, end) of the buckets of sorted unsigned 64-bit keys; equal keys are a chain and never split, and no bucket has more than most bits."""
     out, work = [], [(prefix, bits, 0, len(keys))]
     while work:
         prefix, bits, start, end = work.pop()
-        if end - start <= capacity or bits == 64 or keys[start] == keys[end - 1]:
+        if end - start <= capacity or bits == most or keys[start] == keys[end - 1]:
             out.append((prefix, bits, start, end))
             continue
         low, middle = ((prefix << 1) | 1) << (63 - bits), start
@@ -81,22 +95,35 @@ def split_buckets(keys: list[int], prefix: int, bits: int, capacity: int) -> lis
 def _own(capacity: int, owner_bits: int):
     def flush(owner: int, entries: list) -> pa.RecordBatch:
         keys = [e[0] for e in entries]
-        buckets = split_buckets(keys, owner, owner_bits, capacity)
-        bits = max(b[1] for b in buckets)
-        place = [(b[0], b[1]) for b in buckets for _ in range(b[2], b[3])]
-        signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-        return pa.RecordBatch.from_pydict({
-            "owner": pa.array([owner] * len(entries), pa.int32()), "directory_bits": pa.array([bits - owner_bits] * len(entries), pa.int32()),
-            "bucket": pa.array([signed(p[0]) for p in place], pa.int64()), "bucket_bits": pa.array([p[1] for p in place], pa.int32()), "key": pa.array([signed(e[0]) for e in entries], pa.int64()),
-            "digest": pa.array([e[1] for e in entries], pa.string()), "chain": pa.array([e[2] for e in entries], pa.int32()), "keep_id": pa.array([e[3][1] for e in entries], pa.int64()), "group_size": pa.array([e[3][2] for e in entries], pa.int64()),
-        })
+        buckets = split_buckets(keys, owner, owner_bits, capacity, owner_bits + MAX_DIRECTORY_BITS)
+        bits = max(b[1] for b in buckets) - owner_bits
+        rows = []
+        for prefix, own, start, end in buckets:
+            free = owner_bits + bits - own  # bits of the directory that don't matter for the bucket
+            slot = (prefix << free) & ((1 << bits) - 1)
+            place = (owner, bits, slot, 1 << free, (1 << own) | prefix)
+            rows += [(*place, *e) for e in entries[start:end]] or [(*place, None, None, None, None)]
+        signed = lambda v: None if v is None else v - (1 << 64) if v >= 1 << 63 else v
+        columns = list(zip(*rows, strict=True))
+        columns[5] = tuple(map(signed, columns[5]))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _LOADED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, entries, key, chain = -1, [], None, {}
+        owner, entries, key, chain, later = -1, [], None, {}, []
+
+        def add(held: list, n: int, doc_id: int | None, copies: int) -> None:
+            held[2] += copies
+            if held[0] < 0 or _better(n, doc_id, held):
+                held[:2] = n, doc_id
 
         def end_chain() -> None:
-            entries.extend((key, digest, i, held) for i, (digest, held) in enumerate(chain.values()))
+            by_digest = {digest: held for digest, held in chain.values()}
+            for digest, *row in later:
+                add(by_digest[digest], *row)
+            entries.extend((key, digest, held[1], held[2]) for digest, held in chain.values())
             chain.clear()
+            later.clear()
 
         for batch in batches:
             for k, digest, form, n, doc_id, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "form", "best_chars", "best_id", "copies")), strict=True):
@@ -108,10 +135,10 @@ def _own(capacity: int, owner_bits: int):
                             yield flush(owner, entries)
                         owner, entries = k >> (64 - owner_bits), []
                     key = k
-                _, held = chain.setdefault(form, (digest, [-1, None, 0]))  # a lookup compares the whole text
-                held[2] += copies
-                if held[0] < 0 or _better(n, doc_id, held):
-                    held[:2] = n, doc_id
+                if form is None:
+                    later.append((digest, n, doc_id, copies))
+                else:
+                    add(chain.setdefault(form, (digest, [-1, None, 0]))[1], n, doc_id, copies)  # a lookup compares the whole text
         end_chain()
         if entries:
             yield flush(owner, entries)
@@ -119,26 +146,57 @@ def _own(capacity: int, owner_bits: int):
     return run
 
 
-def build_index(rows: DataFrame, bucket_entries: int = BUCKET_ENTRIES, owner_bits: int = OWNER_BITS) -> DataFrame:
-    """The index of keyed() rows, one row per distinct text, as a table in the shared folder."""
+@dataclass
+class Index:
+    """owners: owner, bits. directory: owner, slot, bucket. entries: bucket, key, digest, keep_id, group_size."""
+
+    owner_bits: int
+    owners: DataFrame
+    directory: DataFrame
+    entries: DataFrame
+
+    def probe(self, rows: DataFrame, how: str = "inner") -> DataFrame:
+        """rows (key, digest, ...) with keep_id and group_size of their entry; how="left" keeps rows without one."""
+        owner = F.shiftrightunsigned("key", 64 - self.owner_bits).cast("int")
+        found = rows.withColumn("owner", owner).join(sided(self.owners), "owner", how)
+        # The bits of the key that follow the owner's; none where the directory has a single slot.
+        slot = F.when(F.col("bits") == 0, F.lit(0)).otherwise(F.expr(f"shiftrightunsigned(shiftleft(key, {self.owner_bits}), 64 - bits)")).cast("long")
+        found = found.withColumn("slot", slot).drop("bits").join(sided(self.directory), ["owner", "slot"], how).drop("owner", "slot")
+        return found.join(self.entries, ["bucket", "key", "digest"], how).drop("bucket")
+
+    def save(self, path: str) -> None:
+        """Writes the index to a folder."""
+        for name in ("owners", "directory", "entries"):
+            getattr(self, name).write.parquet(f"{path}/{self.owner_bits}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, owner_bits: int = OWNER_BITS) -> Index:
+        return Index(owner_bits, *(spark.read.parquet(f"{path}/{owner_bits}/{name}") for name in ("owners", "directory", "entries")))
+
+
+def build_index(rows: DataFrame, bucket_entries: int = BUCKET_ENTRIES, owner_bits: int = OWNER_BITS) -> Index:
+    """The index of keyed() rows, one entry per distinct text."""
     folded = rows.mapInArrow(_fold, _LOCAL)
     owner = F.shiftrightunsigned("key", 64 - owner_bits)
     ordered = folded.repartition(owner).sortWithinPartitions(owner, F.shiftrightunsigned("key", 1), F.col("key").bitwiseAND(1))
-    return materialise(ordered.mapInArrow(_own(bucket_entries, owner_bits), _INDEX))
+    loaded = written_table(ordered.mapInArrow(_own(bucket_entries, owner_bits), _LOADED), "buckets")
+    owners = loaded.select("owner", "bits").distinct()
+    directory = loaded.select("owner", "slot", "slots", "bucket").distinct().select("owner", "bucket", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("slots") - 1)).alias("slot"))
+    return Index(owner_bits, written_table(owners, "owners"), written_table(directory.select("owner", "slot", "bucket"), "directory"), loaded.where("key is not null").select("bucket", "key", "digest", "keep_id", "group_size"))
 
 
-def exact_duplicates(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES, owner_bits: int = OWNER_BITS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES, owner_bits: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the most code points stays, then the smallest doc_id; a null doc_id comes last. Null and empty texts
     and texts of white space are equal. Rows that repeat a doc_id with one text are members of the group each, and all
-    rows of the id that stays are marked. Texts of any length are whole. Other columns are ignored; an empty table gives
-    an empty result.
+    rows of the id that stays are marked. Texts of any length are whole. owner_bits: from the number of rows, unless
+    given. Other columns are ignored; an empty table gives an empty result.
     """
     rows = keyed(docs)
-    index = build_index(rows, bucket_entries, owner_bits).select("key", "digest", "keep_id", "group_size")
-    members = rows.select("doc_id", "key", "digest")
-    return members.join(index, ["key", "digest"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    bits = owner_bits or max(OWNER_BITS, math.ceil(math.log2(max(docs.count(), 1) / OWNER_ROWS)))
+    found = build_index(rows, bucket_entries, bits).probe(rows.select("doc_id", "key", "digest"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
