@@ -117,7 +117,8 @@ def local_time(rfc3339: Column) -> Column:
 
 
 def unescape_octal(value: Column) -> Column:
-    """Mount fields write space, tab, line feed and backslash as octal escapes."""
-    for code, char in (("040", " "), ("011", "\t"), ("012", "\n"), ("134", "\\")):
-        value = F.replace(value, F.lit("\\" + code), F.lit(char))
-    return value
+    """Mount fields write bytes as a backslash and three octal digits; others stay. Bytes that follow each other are UTF-8."""
+    parts = F.split(value, r"\\(?=[0-3][0-7]{2})")
+    byte = lambda p: F.unhex(F.lpad(F.conv(F.substring(p, 1, 3), 8, 16), 2, "0"))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(byte(p), F.encode(F.substring(p, 4, 1 << 30), "UTF-8")))
+    return F.decode(F.aggregate(rest, F.encode(F.get(parts, F.lit(0)), "UTF-8"), lambda done, p: F.concat(done, p)), "UTF-8")

@@ -89,7 +89,7 @@ _PACKED = "shard int, pack int, key string, offset long, length long"
 def greedy_packs(objects: DataFrame, shards: int, pack_size: int = PACK_SIZE, key: str = "key", size: str = "size") -> DataFrame:
     """shard, pack, key, offset, length: objects fill a pack in key order until it has pack_size bytes or more.
 
-    The buffer's reset depends on all before it, so a shard (a hash of the key) is read in order; only the buffer's
+    The buffer's reset depends on all before it, so a shard (by the MD5 of the key) is read in order; only the buffer's
     length is kept, so a shard of any size streams through.
     """
 
@@ -107,7 +107,7 @@ def greedy_packs(objects: DataFrame, shards: int, pack_size: int = PACK_SIZE, ke
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "pack", "key", "offset", "length"])
 
-    dealt = objects.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("string").alias("key"), F.col(size).cast("long").alias("size"))
+    dealt = objects.select(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("string").alias("key"), F.col(size).cast("long").alias("size"))
     return dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(fill, _PACKED)
 
 
@@ -154,3 +154,13 @@ def reassemble(parts: DataFrame, content: str = "content_ref", position: str = "
     """content, text: parts joined in order. A content's parts meet in one row, so its size bounds the group."""
     gathered = parts.groupBy(content).agg(F.array_sort(F.collect_list(F.struct(position, data))).alias("_parts"))
     return gathered.select(content, F.array_join(F.transform("_parts", lambda p: p[data]), "").alias("text"))
+
+
+def part(position: str, data: str) -> Column:
+    """A part for joined_bytes(): its bytes as Latin-1 characters, as only texts are joined in one pass."""
+    return F.struct(F.col(position).alias("pos"), F.decode(F.col(data), "ISO-8859-1").alias("text"))
+
+
+def joined_bytes(parts: str) -> Column:
+    """The bytes of an array of part(), in its order; work is linear in them."""
+    return F.encode(F.array_join(F.transform(parts, lambda p: p["text"]), ""), "ISO-8859-1")

@@ -99,9 +99,14 @@ def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.check_summary(_missing(spark, sf_dir).union(_corrupt(spark, sf_dir)))
 
 
-@query("SELECT event_id FROM events WHERE try_cast(props AS JSON) IS NULL OR json_type(props) <> 'OBJECT'")
+@query(
+    """SELECT event_id FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN substr(props, 1, length(props) - 1) WHEN 1 THEN '' ELSE props END AS p FROM events)
+WHERE try_cast(p AS JSON) IS NULL OR json_type(try_cast(p AS JSON)) <> 'OBJECT'"""
+)
 def integrity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.col("props").alias("data"))
+    """Objects of which some are cut off or empty."""
+    data = F.when(F.col("event_id") % 7 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(F.col("event_id") % 7 == 1, "").otherwise(F.col("props"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), data.alias("data"))
     return graph.unparsable(rows, "k double").select(F.col("key").cast("long").alias("event_id"))
 
 
@@ -121,6 +126,18 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(inner, "file_id", "left").withColumn("type", F.when(F.col("_inner"), "folder").otherwise("file")).drop("_inner")
 
 
+@query(
+    """WITH RECURSIVE p AS (
+  SELECT doc_id AS first, doc_id AS id, 'n' || doc_id AS path, 0 AS depth FROM documents
+  UNION ALL SELECT first, id - 1, 'n' || (id - 1) || '/' || path, depth + 1 FROM p WHERE depth < 50 AND id % 70 > 0)
+SELECT first::VARCHAR AS file_id, path, depth FROM p QUALIFY row_number() OVER (PARTITION BY first ORDER BY depth DESC) = 1"""
+)
+def deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 70 files: a path has at most 50 parents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("n"), "doc_id").alias("name"), F.when(F.col("doc_id") % 70 > 0, F.array((F.col("doc_id") - 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return graph.paths(docs)
+
+
 @query(_TREE + "SELECT id AS file_id, path, depth FROM p")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.paths(tree(spark, sf_dir)).select(F.col("file_id").cast("long").alias("file_id"), "path", "depth")

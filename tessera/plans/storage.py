@@ -169,11 +169,20 @@ def object_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined chunks of every document, put together again."""
     parts = chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", CHUNKS)
-    whole = parts.groupBy("id").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"))
-    return whole.select("id", "size", F.sha2(F.aggregate("p", F.lit(bytearray()), lambda a, x: F.concat(a, x["data"])), 256).alias("content_hash"))
+    whole = parts.groupBy("id").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(storage.part("pos", "data"))).alias("p"))
+    return whole.select("id", "size", F.sha2(storage.joined_bytes("p"), 256).alias("content_hash"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (
+  SELECT key, size, ('0x' || substr(md5(key), 1, 8))::BIGINT % 8 AS shard FROM (SELECT DISTINCT 'content/' || sha256(text) AS key, strlen(text)::BIGINT AS size FROM documents)),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY key) AS i FROM o),
+p AS (
+  SELECT shard, i, key, size, 0 AS pack, 0::BIGINT AS held FROM r WHERE i = 1
+  UNION ALL SELECT r.shard, r.i, r.key, r.size, CASE WHEN p.held + p.size >= {PACK} THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.held + p.size >= {PACK} THEN 0 ELSE p.held + p.size END
+  FROM p JOIN r ON r.shard = p.shard AND r.i = p.i + 1)
+SELECT shard::INT AS shard, pack::INT AS pack, key, held AS "offset", size AS length FROM p"""
+)
 def greedy_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = contents(spark, sf_dir).select("key", "size").dropDuplicates(["key"])
     return storage.greedy_packs(objects, 8, PACK)
@@ -229,7 +238,21 @@ def hamt_leaf_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.nodes(entries(spark, sf_dir)).groupBy("level", "kind").agg(F.count("*").alias("nodes"), F.sum("entries").alias("entries"))
 
 
-@query()
+def _sharing_sql() -> str:
+    """Hashes of all nodes of both versions, level by level from the deepest."""
+    levels = ["r6 AS (SELECT ver, node, ref FROM l WHERE level = 6)"]
+    for level in range(5, -1, -1):
+        above = f"SELECT ver, node >> 5, sha256(string_agg(ref, chr(10) ORDER BY node)) FROM r{level + 1} GROUP BY 1, 2"
+        levels.append(f"r{level} AS (SELECT ver, node, ref FROM l WHERE level = {level} UNION ALL {above})")
+    every = " UNION ALL ".join(f"SELECT {level} AS level, * FROM r{level}" for level in range(7))
+    return f"""{_NODES}, leaf AS (SELECT level, node FROM n WHERE entries <= 32 OR level = 6),
+v AS (SELECT 0 AS ver, doc_id::VARCHAR AS id, ref, k FROM e UNION ALL SELECT 1, doc_id::VARCHAR, CASE WHEN lang = 'fr' THEN sha256(ref || 'x') ELSE ref END, k FROM e),
+l AS (SELECT ver, level, node, sha256(string_agg(id || '=' || ref, chr(10) ORDER BY id || '=' || ref)) AS ref FROM v JOIN leaf ON v.k >> (32 - 5 * level) = node GROUP BY 1, 2, 3),
+{", ".join(levels)}, every AS ({every})
+SELECT level::INT AS level, count(*) AS nodes, count(*) FILTER (WHERE ref NOT IN (SELECT ref FROM every WHERE ver = 0)) AS new_nodes FROM every WHERE ver = 1 GROUP BY 1"""
+
+
+@query(_sharing_sql())
 def structural_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that are new when all French documents change."""
     before = entries(spark, sf_dir)

@@ -68,23 +68,23 @@ def backup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.backup_stats(versions.classify(cur, prev), versions.removed(cur, prev))
 
 
-def _metadata(rows: DataFrame, size: Column, content_hash: Column) -> DataFrame:
+def _metadata(rows: DataFrame, size: Column, content_hash: Column, owner: Column) -> DataFrame:
     zero = F.lit(0).cast("long")
     return rows.select(
         F.col("doc_id").cast("string").alias("file_id"), F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("name"), size.alias("size"), zero.alias("mtime"), F.lit("file").alias("type"), zero.alias("mode"), zero.alias("uid"), zero.alias("gid"),
-        zero.alias("btime"), zero.alias("flags"), F.lit(None).cast("map<string,binary>").alias("xattrs"), F.array("source").alias("parents"), content_hash.alias("content_hash"), F.lit(None).cast("string").alias("content_ref"), F.lit(None).cast("map<string,string>").alias("extra"),
+        zero.alias("btime"), zero.alias("flags"), F.create_map(F.lit("user.source"), F.col("source").cast("binary"), F.lit("user.owner"), owner.cast("binary")).alias("xattrs"), F.array("source").alias("parents"), content_hash.alias("content_hash"), F.lit(None).cast("string").alias("content_ref"), F.lit(None).cast("map<string,string>").alias("extra"),
     )
 
 
 @query(
-    """SELECT doc_id::VARCHAR AS file_id, CASE WHEN lang = 'es' THEN 'new' WHEN lang = 'fr' THEN 'changed' ELSE 'unmodified' END AS status,
-  CASE WHEN lang IN ('es', 'fr') THEN NULL ELSE sha256(text) END AS content_hash FROM documents"""
+    """SELECT doc_id::VARCHAR AS file_id, CASE WHEN lang = 'es' THEN 'new' WHEN lang IN ('fr', 'de') THEN 'changed' ELSE 'unmodified' END AS status,
+  CASE WHEN lang IN ('es', 'fr', 'de') THEN NULL ELSE sha256(text) END AS content_hash FROM documents"""
 )
 def metadata_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing without content hashes takes them over where metadata is equal; French documents have grown."""
+    """A listing without content hashes takes them over where metadata is equal; French documents have grown, German ones have another extended attribute."""
     docs = table(spark, sf_dir, "documents")
-    prev = _metadata(docs.where("lang <> 'es'"), F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256))
-    cur = _metadata(docs, F.col("n_chars") + F.when(F.col("lang") == "fr", 1).otherwise(0), F.lit(None).cast("string"))
+    prev = _metadata(docs.where("lang <> 'es'"), F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256), F.col("lang"))
+    cur = _metadata(docs, F.col("n_chars") + F.when(F.col("lang") == "fr", 1).otherwise(0), F.lit(None).cast("string"), F.when(F.col("lang") == "de", "other").otherwise(F.col("lang")))
     return versions.classify_metadata(cur, prev).select("file_id", "status", "content_hash")
 
 

@@ -226,8 +226,8 @@ class Repo:
         """path, type, size, mtime, content of a path, all below it and its ancestors; for restore_to_folder() or restore_to_zip()."""
         chosen = graph.restore_selection(self.tree(snapshot).drop("path", "depth"), path)
         parts = self._parts(chosen)
-        bodies = parts.groupBy("content_ref").agg(F.array_sort(F.collect_list(F.struct("pos", F.decode("data", "ISO-8859-1").alias("t")))).alias("p"))
-        bodies = bodies.select("content_ref", F.encode(F.array_join(F.transform("p", lambda x: x["t"]), ""), "ISO-8859-1").alias("content"))
+        bodies = parts.groupBy("content_ref").agg(F.array_sort(F.collect_list(storage.part("pos", "data"))).alias("p"))
+        bodies = bodies.select("content_ref", storage.joined_bytes("p").alias("content"))
         return chosen.join(bodies, "content_ref", "left").select("path", "type", "size", "mtime", "content")
 
     def _parts(self, files: DataFrame) -> DataFrame:
