@@ -59,6 +59,16 @@ def bucket_index(key: Column, level: int, bits: int = 5) -> Column:
     return F.shiftrightunsigned(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), shift).bitwiseAND((1 << bits) - 1).cast("int")
 
 
+def child_bit(child: Column) -> Column:
+    """The bit of a child in its node's bitmap."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), child.cast("int"))
+
+
+def child_position(bitmap: Column, child: Column) -> Column:
+    """How many children of the bitmap come before one: its place in the node's array."""
+    return F.bit_count(bitmap.bitwiseAND(child_bit(child) - 1))
+
+
 def prefix(key: Column, level: int, bits: int = 5) -> Column:
     """The path to a node at a level, as a number; 0 at the root."""
     return F.shiftrightunsigned(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - level * bits)

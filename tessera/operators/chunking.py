@@ -1,6 +1,6 @@
 """Content-defined chunking: cut points depend on a rolling hash of the bytes, so an insertion moves few of them.
 
-A gear hash of the last 64 bytes is computed for all positions of a text at once; a chunk ends at the first position,
+A gear hash of the last 64 bytes is computed for all positions of a window of a text at once; a chunk ends at the first position,
 after the minimal size, where the hash has enough zero bits (more up to the normal size, fewer beyond), at the maximal
 size at last. The table of byte values comes from a generator with a fixed seed.
 """
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Minimal, normal and maximal bytes of a chunk.
 SIZES = (512 * 1024, 1024 * 1024, 8 * 1024 * 1024)
 
+#: Bytes that are hashed at once; temporaries are 16 times as large.
+WINDOW = 1 << 20
+
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([i])).digest()[:8] for i in range(256)), "<u8")
 
 
@@ -31,11 +34,21 @@ def gear_hashes(data: bytes) -> np.ndarray:
     return value
 
 
+def _zero_ends(data: bytes, bits: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each number of bits the ends at which a hash has so many zeros; windows overlap by the bytes that a hash covers."""
+    out: list[list[np.ndarray]] = [[] for _ in bits]
+    for start in range(0, len(data), WINDOW):
+        before = min(start, 63)
+        value = gear_hashes(data[start - before : start + WINDOW])[before:]
+        for found, b in zip(out, bits, strict=True):
+            found.append(np.flatnonzero(value >> np.uint64(64 - b) == 0) + start + 1)
+    return out
+
+
 def cut_points(data: bytes, minimal: int, normal: int, maximal: int) -> list[int]:
     """Ends of the chunks of data."""
     bits = int(normal).bit_length() - 1
-    value = gear_hashes(data)
-    strict, loose = (np.flatnonzero(value >> np.uint64(64 - b) == 0) + 1 for b in (bits + 1, max(bits - 1, 1)))
+    strict, loose = (np.concatenate(x) if x else np.empty(0, np.int64) for x in _zero_ends(data, (bits + 1, max(bits - 1, 1))))
     ends, start = [], 0
     while len(data) - start > minimal:
         limit, middle = min(start + maximal, len(data)), min(start + normal, len(data))

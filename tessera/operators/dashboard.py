@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,26 @@ def profile_status(profiles: DataFrame, stores: DataFrame, credentials: DataFram
     return out.withColumn("actions", actions(F.col("status"), F.col("store_health"))).orderBy("name")
 
 
+def effective_profiles(profiles: DataFrame, stores: DataFrame, credentials: DataFrame, given: Mapping[str, str] | None = None) -> DataFrame:
+    """name, source, store, store_uri, auth_ref, provider, error: what a run of each profile uses.
+
+    given: values that the user sets for this run (source, store_uri, auth_ref); they go before the profile's, and those
+    of its store. A source that is empty, or a store or credential that is named but not known, is an error.
+    """
+    given = given or {}
+    chosen = lambda name: F.lit(given[name]) if name in given else _text(name)
+    base = profiles.select("name", chosen("source").alias("source"), _text("store").alias("store"), chosen("auth_ref").alias("auth_ref"))
+    known_stores = stores.select(F.col("name").alias("_store"), _text("uri").alias("_uri"), F.lit(True).alias("_has_store"))
+    known_auth = credentials.select(F.col("name").alias("_auth"), _text("provider").alias("provider"), F.lit(True).alias("_has_auth"))
+    joined = base.join(known_stores, F.col("store") == F.col("_store"), "left").join(known_auth, F.col("auth_ref") == F.col("_auth"), "left")
+    error = (
+        F.when(F.col("source") == "", "empty source").when((F.col("store") != "") & F.col("_has_store").isNull(), "unknown store")
+        .when((F.col("auth_ref") != "") & F.col("_has_auth").isNull(), "unknown auth").otherwise("")
+    )
+    uri = F.lit(given["store_uri"]) if "store_uri" in given else F.coalesce("_uri", F.lit(""))
+    return joined.select("name", "source", "store", uri.alias("store_uri"), "auth_ref", F.coalesce("provider", F.lit("")).alias("provider"), error.alias("error"))
+
+
 def actions(status: Column, health: Column) -> Column:
     """What may be run on a profile: init, or backup and check, or nothing."""
     return F.when(status.isin("disabled", "error"), "").when(health == "not_initialized", "init").otherwise("backup,check")

@@ -130,6 +130,14 @@ def under_path(path: Column, wanted: str) -> Column:
     return F.lit(True) if not wanted else (path == wanted) | path.startswith(wanted + "/")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A path as seen from root; empty for root itself, null for a path that isn't below it."""
+    base = "/".join(p for p in root.replace("\\", "/").split("/") if p not in ("", "."))
+    if not base:
+        return path
+    return F.when(path == base, "").when(path.startswith(base + "/"), F.substring(path, len(base) + 2, 1 << 30))
+
+
 def restore_selection(files: DataFrame, wanted: str) -> DataFrame:
     """files (with path) that a restore of wanted needs: matches, everything below, and all ancestors of those."""
     placed = files.join(paths(files), "file_id")

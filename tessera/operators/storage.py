@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import materialise
+
 #: The largest object that is packed or inlined, the size at which a pack is closed, and the wasted share from which it is rewritten.
 SMALL_OBJECT, PACK_SIZE, MAX_WASTE = 512 * 1024, 8 * 1024 * 1024, 0.3
 #: Prefixes of objects that may be packed, and index objects that never are.
@@ -145,6 +147,24 @@ def repacked_objects(catalog: DataFrame, fragmented: DataFrame) -> DataFrame:
     return catalog.join(fragmented.where("action = 'repack'").select("pack_ref"), "pack_ref", "left_semi")
 
 
+def repack(catalog: DataFrame, packs: DataFrame, max_waste: float = MAX_WASTE, pack_size: int = PACK_SIZE) -> tuple[DataFrame, DataFrame]:
+    """The catalog (key, pack_ref, offset, length) and the packs (pack_ref, data) after a repack.
+
+    Packs without active bytes go; the active objects of those with too much waste move to new packs, which are named by
+    the SHA-256 of their bytes; the others stay as they are. An object is read once, a new pack holds pack_size bytes and
+    the rest of its last object.
+    """
+    plan = materialise(fragmentation(catalog, packs.select("pack_ref", F.octet_length("data").cast("long").alias("size")), max_waste))
+    kept = plan.where("action = 'keep'").select("pack_ref")
+    moved = read_packed(repacked_objects(catalog, plan), catalog, packs).withColumn("length", F.octet_length("data").cast("long"))
+    placed = materialise(fixed_packs(moved, ["key"], "length", pack_size))
+    bodies = placed.groupBy("pack").agg(F.array_sort(F.collect_list(part("offset", "data"))).alias("_parts")).select("pack", joined_bytes("_parts").alias("data"))
+    bodies = materialise(bodies.withColumn("pack_ref", F.sha2("data", 256)))
+    new_catalog = placed.join(bodies.select("pack", "pack_ref"), "pack").select("key", "pack_ref", "offset", "length")
+    old_catalog = catalog.join(kept, "pack_ref", "left_semi").select("key", "pack_ref", "offset", "length")
+    return old_catalog.union(new_catalog), packs.join(kept, "pack_ref", "left_semi").select("pack_ref", "data").union(bodies.select("pack_ref", "data"))
+
+
 def objects(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, data of wanted keys; data is null for a key that isn't stored. Small lists of keys become a broadcast by their size."""
     return wanted.select("key").join(stored.select("key", "data"), "key", "left")

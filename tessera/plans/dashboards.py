@@ -51,3 +51,19 @@ def profile_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = regions.where("r_regionkey in (0, 1, 3)").select(region.alias("store"), F.when(F.col("r_regionkey") == 3, "error").otherwise("ok").alias("status"), F.when(F.col("r_regionkey") == 3, "open: repository not initialized yet").alias("error"))
     credentials = regions.limit(0).select(F.lit("").alias("name"), F.lit("").alias("provider"))
     return dashboard.profile_status(profiles, stores, credentials, probes, have, F.lit("2024-02-05 00:00:00").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT n_name AS name, CASE WHEN n_nationkey % 9 = 0 THEN '' ELSE 'gdrive:/' || n_name END AS source, 'region-' || n_regionkey AS store, CASE WHEN n_regionkey <> 4 THEN 's3:bucket-' || n_regionkey ELSE '' END AS store_uri,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'lost' WHEN n_nationkey % 5 = 1 THEN '' ELSE 'drive' END AS auth_ref, CASE WHEN n_nationkey % 5 > 1 THEN 'google' ELSE '' END AS provider,
+  CASE WHEN n_nationkey % 9 = 0 THEN 'empty source' WHEN n_regionkey = 4 THEN 'unknown store' WHEN n_nationkey % 5 = 0 THEN 'unknown auth' ELSE '' END AS error FROM nation"""
+)
+def effective_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with their stores and credentials, of which some aren't known."""
+    key, region = F.col("n_nationkey"), F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))
+    profiles = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), F.when(key % 9 != 0, F.concat(F.lit("gdrive:/"), "n_name")).alias("source"), region.alias("store"), F.when(key % 5 == 0, "lost").when(key % 5 == 1, "").otherwise("drive").alias("auth_ref")
+    )
+    stores = table(spark, sf_dir, "region").where("r_regionkey <> 4").select(F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("name"), F.concat(F.lit("s3:bucket-"), F.col("r_regionkey").cast("string")).alias("uri"))
+    credentials = spark.range(1).select(F.lit("drive").alias("name"), F.lit("google").alias("provider"))
+    return dashboard.effective_profiles(profiles, stores, credentials)

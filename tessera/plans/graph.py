@@ -126,6 +126,14 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(inner, "file_id", "left").withColumn("type", F.when(F.col("_inner"), "folder").otherwise("file")).drop("_inner")
 
 
+@query("SELECT doc_id, CASE WHEN source = 'src1' THEN CASE WHEN lang = 'en' THEN '' ELSE lang || '/' || doc_id END END AS path FROM documents")
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below one folder; others have none."""
+    lang, own = F.col("lang"), F.col("doc_id").cast("string")
+    path = F.when(lang == "en", F.concat(F.lit("all/"), "source")).otherwise(F.concat_ws("/", F.lit("all"), "source", lang, own))
+    return table(spark, sf_dir, "documents").select("doc_id", graph.relative_path(path, "/all/src1/").alias("path"))
+
+
 @query(
     """WITH RECURSIVE p AS (
   SELECT doc_id AS first, doc_id AS id, 'n' || doc_id AS path, 0 AS depth FROM documents

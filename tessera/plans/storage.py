@@ -136,6 +136,18 @@ def repack_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.repacked_objects(catalog, _fragmented(spark, sf_dir)).select("doc_id")
 
 
+@query(_FRAGMENTS + "SELECT doc_id, action = 'repack' AS moved, sha256(text) AS content_hash FROM p JOIN h ON h.pack_ref = p.pack JOIN documents USING (doc_id) WHERE p.lang <> 'de' AND action <> 'delete'")
+def repacked_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as they are read after the repack: from old packs, or moved to new ones."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    packed = _packs(spark, sf_dir).join(texts, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "lang", F.col("pack").cast("string").alias("pack_ref"), "offset", F.col("size").alias("length"), "data")
+    packs = packed.groupBy("pack_ref").agg(F.array_sort(F.collect_list(storage.part("offset", "data"))).alias("p")).select("pack_ref", storage.joined_bytes("p").alias("data"))
+    catalog, after = storage.repack(packed.where("lang <> 'de'").select("key", "pack_ref", "offset", "length"), packs, pack_size=PACK)
+    moved = catalog.select("key", (F.length("pack_ref") == 64).alias("moved"))
+    read = storage.read_packed(catalog.select("key"), catalog, after).join(moved, "key")
+    return read.select(F.col("key").cast("long").alias("doc_id"), "moved", F.sha2("data", 256).alias("content_hash"))
+
+
 @query("SELECT conv_id || ':' || turn AS key, text AS data FROM conversations WHERE role = 'user'")
 def pack_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns are packed by conversation; those of users are read back by offset and length."""
@@ -260,6 +272,17 @@ def structural_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.rewritten(index.node_refs(before), index.node_refs(after))
 
 
+@query(
+    f"""WITH e AS (SELECT *, ('0x' || substr(path_key, 1, 8))::BIGINT AS k FROM ({_AFFINITY})), b AS (SELECT sum(DISTINCT 1::BIGINT << ((k >> 27) & 31)::INT)::BIGINT AS bitmap FROM e)
+SELECT doc_id, bit_count(bitmap & ((1::BIGINT << ((k >> 27) & 31)::INT) - 1))::INT AS position FROM e, b"""
+)
+def child_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the child of each entry lies among the children that the root has."""
+    at = entries(spark, sf_dir).withColumn("child", hashes.bucket_index(F.col("path_key"), 0))
+    bitmap = at.agg(F.bit_or(hashes.child_bit(F.col("child")))).first()[0]  # one number
+    return at.select("doc_id", hashes.child_position(F.lit(bitmap or 0).cast("long"), F.col("child")).alias("position"))
+
+
 @query("SELECT source, sha256(string_agg(DISTINCT lang, chr(10) ORDER BY lang)) AS fingerprint FROM documents GROUP BY source")
 def exclude_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("patterns"))
