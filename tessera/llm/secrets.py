@@ -3,7 +3,8 @@
 A tiktoken vocabulary was merged from natural text, so random strings split into short tokens. Candidates are runs of
 MIN_RUN or more characters of [A-Za-z0-9+/_-] with up to two "=" at the end; one is reported if it has at most MAX_RATIO
 characters per token. Known digests (hexadecimal of a digest's length), UUIDs and identifiers (parts of letters only or
-digits only, in natural case) are excluded first, and so is what a pattern has found already.
+digits only, in natural case) are excluded first, and so is what a pattern has found already. A single part of letters
+may be a word or a password of letters: it is an identifier unless it has at most MAX_LETTER_RATIO characters per token.
 
 A row is judged alone, so there is no shuffle. One pass over the bytes of many texts finds all runs at once; only texts
 with a run or a keyword are looked at further.
@@ -25,6 +26,8 @@ from tessera.llm.tokens import default_vocabulary, tiktoken_encoding
 
 #: Characters of a candidate, and characters per token up to which it is random.
 MIN_RUN, MAX_RATIO = 16, 2.2
+#: The same for a run of letters only; words have more.
+MAX_LETTER_RATIO = 1.8
 #: The kinds in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -63,7 +66,10 @@ def excluded(run: str) -> bool:
 
 
 def is_random(run: str, encoding) -> bool:
-    return not excluded(run) and len(run) <= MAX_RATIO * len(encoding.encode_ordinary(run))
+    letters = run.isalpha()
+    if excluded(run) and not (letters and _PART.fullmatch(run)):
+        return False
+    return len(run) <= (MAX_LETTER_RATIO if letters else MAX_RATIO) * len(encoding.encode_ordinary(run))
 
 
 def _found(text: str, runs: list[tuple[int, int]], keyword: bool, encoding) -> list[tuple[int, int, str]]:
