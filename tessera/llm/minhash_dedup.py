@@ -13,7 +13,8 @@
    is lost, and what leaves a task is at most one link per merge.
 
 Members of a bucket or family are cut into blocks, and pairs of blocks are dealt over tasks, so neither a task's memory
-nor its rows grow with a group.
+nor its rows grow with a group. Blocks of the largest component only meet those of the others. Where several components
+of a group are large and no link joins them, proving that takes work in proportion to the product of their sizes.
 """
 
 from __future__ import annotations
@@ -212,10 +213,21 @@ def _search(least: float, threshold: int):
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """members (key, doc_id, n, ...) as rows of pairs of blocks (i, j) of their key, which has n members."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "blocks", "own", "other")
+    """members (key, doc_id, component, ...) as rows of pairs of blocks (i, j) of their key.
+
+    The largest component of a key has blocks of its own, which meet only those of the others: a key with one large
+    component and some strays has rows in proportion to its members.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    largest = largest.select("key", F.col("top.component").alias("large"), blocks(F.col("all") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many"))
+    cut = members.join(materialise(largest), "key").withColumn("is_large", F.col("component") == F.col("large"))
+    hashed = F.xxhash64("doc_id")
+    own = F.when(F.col("is_large"), F.col("few") + F.pmod(hashed, "many")).otherwise(F.pmod(hashed, "few")).cast("int")
+    others = F.col("few") + F.when(F.col("is_large"), 0).otherwise(F.col("many"))
+    cut = cut.where("few > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("large", "few", "many", "is_large", "own", "other")
 
 
 def _together(rows: DataFrame) -> DataFrame:
@@ -223,8 +235,8 @@ def _together(rows: DataFrame) -> DataFrame:
 
 
 def _residual_links(multi: DataFrame, reps: DataFrame, label: DataFrame, texts: DataFrame, threshold: int, block: int, least: float) -> DataFrame:
-    """Links (a, b) between different components; multi has a row (key, doc_id, n) per member of a bucket of n."""
-    at = multi.join(label, multi["doc_id"] == label["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    """Links (a, b) between different components; multi has a row (key, doc_id) per member of a bucket."""
+    at = multi.join(label, multi["doc_id"] == label["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     at = materialise(at.join(mixed, "key", "left_semi"))
     signature = reps.select("doc_id", "signature")
@@ -233,9 +245,7 @@ def _residual_links(multi: DataFrame, reps: DataFrame, label: DataFrame, texts:
     ends = suggested.join(member.withColumnsRenamed({"doc_id": "a", "component": "src"}), "a").join(member.withColumnsRenamed({"doc_id": "b", "component": "dst"}), "b")
     family = materialise(connected_components(ends.select("src", "dst")))
     inside = member.join(family.select(F.col("node").alias("component"), F.col("component").alias("key")), "component")
-    inside = materialise(inside)
-    sized = inside.join(inside.groupBy("key").agg(F.count("*").alias("n")), "key")
-    rows = _dealt(sized, block).join(signature, "doc_id").join(texts, "doc_id")
+    rows = _dealt(materialise(inside), block).join(signature, "doc_id").join(texts, "doc_id")
     return _together(rows).mapInArrow(_search(least, threshold), _PAIR)
 
 
