@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.lineage import materialise, shared_dir
 
-__all__ = ["drop_tables", "encoded", "materialise", "pieces", "running_total", "shared_dir", "sided", "spread", "table", "text_or_empty", "worker_cache", "written_table"]
+__all__ = ["delete_folder", "drop_tables", "encoded", "materialise", "pieces", "running_total", "shared_dir", "sided", "spread", "table", "tables_written", "text_or_empty", "worker_cache", "written_table"]
 
 #: Rows of numbers that are broadcast at most.
 BROADCAST_ROWS = 200_000
@@ -83,13 +83,22 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes what written_table() has written in this session; results that were not read yet are lost with it."""
-    jvm = spark.sparkContext._jvm
-    for _, path in [x for x in _written if x[0] is spark]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written[:] = [x for x in _written if x[0] is not spark]
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tables_written(spark: SparkSession) -> int:
+    """How many tables of this session there are."""
+    return sum(x[0] is spark for x in _written)
+
+
+def drop_tables(spark: SparkSession, after: int = 0) -> None:
+    """Deletes what written_table() has written in this session, but the first so many tables; results that were not read yet are lost with it."""
+    own = [x for x in _written if x[0] is spark][after:]
+    for _, path in own:
+        delete_folder(spark, path)
+    _written[:] = [x for x in _written if x not in own]
 
 
 def sided(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
