@@ -45,7 +45,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in second)
     groups = brute_components([(r["doc_id"], r["text"]) for r in second])
     third = kept["MinHash near-dedup"]
-    assert sorted(r["doc_id"] for r in third) == sorted(i for i, (_, c) in groups.items() if i == c)
+    assert sorted(groups[r["doc_id"]][1] for r in third) == sorted({c for _, c in groups.values()})
     fourth = kept["mixing sources"]
     assert sorted(fourth) == sorted(third)
     total = {r["doc_id"]: 0 for r in fourth}
@@ -69,6 +69,14 @@ def test_packing_follows_the_mixture(spark, tmp_path):
     assert (first["a"] % 2, first["b"] % 2) == (0, 1)
 
 
+def test_documents_without_an_id_and_with_one_id_are_judged_each(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(None, long("a")), (None, long("b")), (5, long("a")), (7, long("c")), (7, long("b")), (7, long("c")), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted(str(r["text"])[:2] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect())
+    assert got == ["No", "a0", "b0", "c0", "c0"]
+
+
 def test_stages_take_an_empty_table_and_extra_columns(spark):
     _, docs = fixture(spark)
     for _, stage in corpus_pipeline.STAGES:
@@ -81,7 +89,9 @@ def test_stages_take_an_empty_table_and_extra_columns(spark):
 
 def test_library_does_not_need_the_subpackage():
     """Without the folder and the pipeline the entry still imports, and nothing else in the library names the subpackage."""
-    code = "import sys, importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name.startswith('tessera.llm') or name == 'corpus_pipeline':\n            raise ImportError(name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert e.queries() and e.oracle_sql() and not any(k.startswith('op') for k in e.queries())"
+    code = "import sys, importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name.startswith('tessera.llm') or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(name, name='corpus_pipeline' if name == 'corpus_pipeline' else 'tessera.llm')\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert e.queries() and e.oracle_sql() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+    broken = code.split("sys.meta_path.insert")[0].replace("name.startswith('tessera.llm') or name == 'corpus_pipeline'", "name == 'tiktoken'").replace("name='corpus_pipeline' if name == 'corpus_pipeline' else 'tessera.llm'", "name=name") + "sys.meta_path.insert(0, Gone())\nimport tessera.llm.tokens as t\ntry:\n    t.tiktoken_encoding(t.default_vocabulary())\nexcept ModuleNotFoundError:\n    pass\nelse:\n    raise SystemExit(1)"
+    subprocess.run([sys.executable, "-c", broken], cwd=ROOT, check=True)
     users = [p for p in ROOT.glob("tessera/**/*.py") if "llm" not in p.parts and "tessera.llm" in p.read_text()]
     assert users == []

@@ -36,9 +36,38 @@ def test_owner_chains_equal_keys_and_compares_bytes():
     import pyarrow as pa
 
     key = -(1 << 62)
-    batch = pa.RecordBatch.from_pydict({"key": pa.array([key, key, key], pa.int64()), "digest": ["x", "y", "x"], "form": ["one", "two", "one"], "best_chars": pa.array([3, 4, 5], pa.int64()), "best_id": pa.array([1, 2, 3], pa.int64()), "copies": pa.array([2, 1, 1], pa.int64())})
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([key] * 4, pa.int64()), "digest": ["y", "x", "y", "x"], "form": [None, "one", "two", "one"], "best_chars": pa.array([3, 3, 4, 5], pa.int64()), "best_id": pa.array([7, 1, 2, 3], pa.int64()), "copies": pa.array([4, 2, 1, 1], pa.int64())})
     (out,) = exact_dedup._own(4, 3)(iter([batch]))
-    assert list(zip(out["digest"].to_pylist(), out["chain"].to_pylist(), out["keep_id"].to_pylist(), out["group_size"].to_pylist(), strict=True)) == [("x", 0, 3, 3), ("y", 1, 2, 1)]
+    assert list(zip(out["digest"].to_pylist(), out["keep_id"].to_pylist(), out["group_size"].to_pylist(), strict=True)) == [("x", 3, 3), ("y", 2, 5)]
+
+
+def test_a_long_text_is_sent_once_per_task(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_dedup, "PIECE_BYTES", 40)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "n": pa.array([30, 31], pa.int64()), "form": ["x" * 30, "y"], "digest": ["dx", "dy"], "key": pa.array([5, 6], pa.int64())})
+    first, second = exact_dedup._fold(iter([batch, batch]))
+    assert first["form"].to_pylist() == ["x" * 30, "y"] and second["form"].to_pylist() == [None, "y"] and second["copies"].to_pylist() == [1, 1]
+
+
+@pytest.mark.parametrize("capacity", [1, 4])
+def test_rows_are_found_through_directory_and_buckets(spark, capacity, tmp_path):
+    rng = random.Random(capacity)
+    rows = [(i, " ".join(words(rng, 3, 12))) for i in range(400)]
+    index = exact_dedup.build_index(exact_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string")), capacity, 2)
+    slots = {(r["owner"], r["slot"]): r["bucket"] for r in index.directory.collect()}
+    bits = {r["owner"]: r["bits"] for r in index.owners.collect()}
+    assert max(bits.values()) > 3 and all({s for o, s in slots if o == owner} == set(range(1 << n)) for owner, n in bits.items())
+    for r in index.entries.collect():
+        key = r["key"] & (1 << 64) - 1
+        depth = r["bucket"].bit_length() - 1
+        assert (1 << depth) | key >> (64 - depth) == r["bucket"] == slots[key >> 62, (key << 2 & (1 << 64) - 1) >> (64 - bits[key >> 62])]
+    assert max(r["count"] for r in index.entries.groupBy("bucket").count().collect()) <= capacity
+    index.save(str(tmp_path / "index"))
+    held = exact_dedup.Index.load(spark, str(tmp_path / "index"), 2)
+    later = exact_dedup.keyed(spark.createDataFrame([(900, rows[7][1].replace(" ", "")), (901, "not there")], "doc_id long, text string")).select("doc_id", "key", "digest")
+    found = {r["doc_id"]: r["group_size"] for r in held.probe(later, "left").collect()}
+    assert found == {900: sum(t.replace(" ", "") == rows[7][1].replace(" ", "") for _, t in rows), 901: None}
 
 
 @pytest.mark.parametrize("capacity", [1, 3, 50])
@@ -219,6 +248,19 @@ def test_near_duplicates_star_without_its_centre_first(spark):
     assert got == brute_components(rows)
 
 
+def test_strays_beside_a_large_component_are_dealt_in_proportion(spark):
+    def dealt(n):
+        members = spark.range(n).selectExpr("7L as key", "id as doc_id", "if(id < 16, id, 99) as component")
+        return minhash_dedup._dealt(members, 64).count()
+
+    assert dealt(4096) <= 2.2 * dealt(2048) and dealt(2048) <= 2.2 * dealt(1024)
+    pairs = minhash_dedup._dealt(spark.range(40).selectExpr("7L as key", "id as doc_id", "id % 3 as component"), 4).collect()
+    met = {}
+    for r in pairs:
+        met.setdefault((r["i"], r["j"]), set()).add(r["doc_id"])
+    assert all(any({x, y} <= g for g in met.values()) for x in range(40) for y in range(40) if x % 3 != y % 3)
+
+
 def test_near_duplicates_odd_rows(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(None, "a b c d e f", "x"), (2, "a b c d e f", "x"), (2, "a b c d e f", "x"), (3, None, "x")]
@@ -303,6 +345,7 @@ def brute_neighbours(texts, k):
     mean, out = sum(map(len, ids)) / len(ids), {}
     for i, f in enumerate(found):
         query = sorted((w for w in f if df[w] > 1), key=lambda w: (min(df[w], 255), number[w]))[: packing.QUERY_TERMS]
+        query = [w for n, w in enumerate(query) if n == 0 or sum(df[x] for x in query[: n + 1]) <= packing.QUERY_POSTINGS]
         scores = []
         for j in range(i + 1, len(ids)):
             idf = {w: np.log1p((len(ids) - df[w] + 0.5) / (df[w] + 0.5)) for w in query}
@@ -319,10 +362,10 @@ def test_packing_retrieves_over_all_documents(spark):
     rng = random.Random(9)
     texts = [" ".join(words(rng, rng.randrange(5, 80), 700)) for _ in range(80)] + [None, "", "w1"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    held = packing.tokenised(frame, tokens.default_vocabulary())
+    held, counters = packing.tokenised(frame, tokens.default_vocabulary())
     at = {r["row"]: r["doc_id"] for r in held.select("row", "doc_id").collect()}
     by_doc = held.withColumn("row", held["doc_id"])  # rows in the order of ids
-    got = {r["row"]: [(x["score"], x["other"]) for x in r["best"]] for r in packing.neighbours(packing.postings(by_doc, tokens.default_vocabulary())).collect()}
+    got = {r["row"]: [(x["score"], x["other"]) for x in r["best"]] for r in packing.neighbours(packing.postings(by_doc, counters)).collect()}
     want = brute_neighbours(texts, packing.NEIGHBOURS)
     assert len(at) == len(texts) and set(got) == set(want)
     assert all([abs(x - y) <= 8 for (x, _), (y, _) in zip(got[i], want[i], strict=True)] for i in got)
@@ -334,8 +377,7 @@ def test_a_term_in_many_documents_has_shards(spark, monkeypatch):
     """A term that all documents have is cut into shards: pairs grow with documents times a shard's size, and all are packed."""
     monkeypatch.setattr(packing, "SHARD_POSTINGS", 8)
     texts = ["common words only here"] * 200
-    held = packing.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokens.default_vocabulary())
-    index = packing.postings(held, tokens.default_vocabulary())
+    index = packing.postings(*packing.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokens.default_vocabulary()))
     assert index.groupBy("term", "shard").count().agg({"count": "max"}).first()[0] <= 24
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=32).collect()
     assert sorted({r["doc_id"] for r in got}) == list(range(200))
@@ -354,8 +396,8 @@ def test_packing_joins_partners(spark):
 
 
 def test_matching_gives_each_row_one_place(spark):
-    best = spark.createDataFrame([(0, [(9, 3), (8, 4)]), (1, [(7, 3), (6, 4)]), (2, [(7, 3), (5, 4)]), (3, [(1, 4)])], "row long, best array<struct<score long, other long>>")
-    assert sorted(map(tuple, packing.matched(best).collect())) == [(0, 3), (1, 4)]
+    best = spark.createDataFrame([(0, [(9, 3), (8, 4)]), (1, [(7, 3), (6, 4)]), (2, [(7, 3), (5, 4)]), (3, [(1, 5)])], "row long, best array<struct<score long, other long>>")
+    assert sorted(map(tuple, packing.matched(best).collect())) == [(0, 3), (1, 4), (3, 5)]
     rows = spark.createDataFrame([(i, 10 + i) for i in range(6)], "row long, n long")
     links = spark.createDataFrame([(0, 2), (2, 5), (1, 3)], "row long, follows long")
     assert sorted(map(tuple, packing.chains(rows, links).collect())) == [(0, 0, 0), (1, 1, 0), (2, 0, 10), (3, 1, 11), (4, 4, 0), (5, 0, 22)]
@@ -394,22 +436,63 @@ def test_secret_scan_equals_brute_force(spark):
     assert [got[i]["n_random"] for i in range(9)] == [1, 0, 0, 0, 0, 0, 0, 0, 1]
 
 
+def test_letters_are_words_unless_their_tokens_are_short():
+    encoding = tokens.tiktoken_encoding(tokens.default_vocabulary())
+    assert not any(secrets.is_random(x, encoding) for x in ("internationalization", "Counterrevolutionary", "UNCHARACTERISTICALLY", "characteristically"))
+    rng = random.Random(1)
+    found = [secrets.is_random("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)), encoding) for _ in range(100)]
+    assert sum(found) >= 80
+
+
+def test_secrets_of_odd_rows(spark):
+    """Null ids and repeated rows are judged each; columns with the result's names are ignored; an empty table gives nothing."""
+    key = "Zx9Kq2Lm8Vb4Tn6Wp1Rs"
+    rows = [(None, f"see {key}", "x", 1), (None, f"see {key}", "x", 1), (3, None, "x", 1), (3, f"password = {key}", "x", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex long")
+    got = sorted(((r["doc_id"] or -1), r["spans"]) for r in secrets.scan_secrets(frame).collect())
+    assert got == [(-1, "random:4:24"), (-1, "random:4:24"), (3, ""), (3, "assign:0:31")]
+    assert secrets.scan_secrets(frame.limit(0)).collect() == []
+
+
 # Mixing
 
 
 @pytest.mark.parametrize("seed", range(40))
 def test_schedule_keeps_every_window(seed):
     rng = random.Random(seed)
-    blocks = {f"s{i}": rng.randint(1, 50) for i in range(rng.randint(1, 8))}
-    weights = {s: rng.choice([0.0, rng.random(), 10 * rng.random(), 1 / 3]) for s in blocks}
-    windows, placed = mixing.fluid_windows(blocks, weights), dict.fromkeys(blocks, 0)
-    for slot, s in enumerate(mixing.edf_schedule(blocks, weights)):
-        release, deadline = windows[s][placed[s]]
-        assert release <= slot < deadline
+    blocks = [rng.randint(1, 50) for _ in range(rng.randint(1, 8))]
+    weights = [rng.choice([0.0, rng.random(), 10 * rng.random(), 1 / 3]) for _ in blocks]
+    windows, placed = mixing.fluid_windows(blocks, weights), [0] * len(blocks)
+    for slot, (s, j) in enumerate(mixing.edf_schedule(blocks, weights)):
+        release, deadline = windows[s][j]
+        assert placed[s] == j and release <= slot < deadline
         placed[s] += 1
     assert placed == blocks
 
 
+def test_fluid_time_equals_a_simulation():
+    rng = random.Random(1)
+    blocks, weights = [rng.randint(1, 30) for _ in range(6)], [rng.random() + 0.1 for _ in range(6)]
+    time, got, now, step = mixing.fluid_time(blocks, weights), [0.0] * 6, 0.0, 1e-3
+    for _ in range(int(sum(blocks) / step)):
+        active = [s for s in range(6) if got[s] < blocks[s]]
+        total = sum(weights[s] for s in active)
+        for s in active:
+            got[s] += step * weights[s] / total
+        now += step
+        for s in active:
+            if abs(got[s] - 1) < step * weights[s] / total:
+                assert abs(time(1 / weights[s]) - now) < 0.01
+    assert abs(time(max(n / w for n, w in zip(blocks, weights, strict=True))) - sum(blocks)) < 1e-6
+
+
+def test_mixture_of_many_sources(spark):
+    """Sources are a table: 5,000 of them, one with a third of the rows."""
+    frame = spark.range(15_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 5000)) as source")
+    got = mixing.mix_positions(frame).agg({"mix_position": "max", "doc_id": "count"}).first()
+    assert sorted(got) == [14_999, 15_000]
+
+
 def test_mixture_deviates_by_less_than_a_block(spark):
     sources = ["a"] * 300 + ["b"] * 90 + ["c"] * 60 + [None] * 10
     rows = [(i, f"t{i}", s, "clash") for i, s in enumerate(sources)] + [(None, None, "a", "clash"), (5, "t5", "a", "clash")]
