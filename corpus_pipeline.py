@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, minhash_dedup, mixing, packing
-from tessera.llm.shared import shared_dir, sided
+from tessera.llm.shared import delete_folder, drop_tables, shared_dir, sided, tables_written
 
 
 def _without(docs: DataFrame, rejected: DataFrame, key: Column | None = None) -> DataFrame:
@@ -37,9 +37,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows that share the doc_id that stays, stay."""
-    groups = minhash_dedup.near_duplicates(docs)
-    return _without(docs, groups.where("not kept").select("doc_id"))
+    """One document of each group of near duplicates.
+
+    A document is named by its doc_id and text together, so rows without an id, or with one id and different texts, are
+    judged each; rows that are equal in both stay or go together.
+    """
+    key = F.xxhash64("doc_id", "text")
+    groups = minhash_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    side = sided(groups.where("not kept").select(F.col("doc_id").alias("__pipeline_key")).distinct())
+    return docs.join(side, key == F.col("__pipeline_key"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
+    """The last stage's rows for the documents of sf_dir. What a stage has read and its operator's tables are deleted when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
+        path, held = f"{folder}/{number}", tables_written(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_tables(spark, held)
+        if number:
+            delete_folder(spark, f"{folder}/{number - 1}")
         docs = spark.read.parquet(path)
     return docs
