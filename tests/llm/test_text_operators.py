@@ -341,7 +341,7 @@ def brute_neighbours(texts, k):
             held.append(i)
         found.append(collections.Counter([*words, tuple(held)]))
     df = collections.Counter(w for f in found for w in f)
-    number = {w: int(packing.document_terms([np.array(w)], opens)[0][0][0]) for w in df}
+    number = {w: int(packing.document_terms([np.array(w)], opens)[0][0]) for w in df}
     mean, out = sum(map(len, ids)) / len(ids), {}
     for i, f in enumerate(found):
         query = sorted((w for w in f if df[w] > 1), key=lambda w: (min(df[w], 255), number[w]))[: packing.QUERY_TERMS]
