@@ -6,6 +6,7 @@ the routing key. Counts are taken once at the deepest level and rolled up, so no
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -40,23 +41,28 @@ def nodes(entries: DataFrame, path_key: str = "path_key") -> DataFrame:
 
 
 def placed(entries: DataFrame, path_key: str = "path_key") -> DataFrame:
-    """entries with the level and node of their leaf: one join per level on the nodes that exist there."""
+    """entries with the level and node of their leaf. Only the distinct deepest prefixes, two numbers each, are tried on all levels; entries are joined once."""
     leaves = nodes(entries, path_key).where("kind = 'leaf'").select("level", F.col("node").alias("leaf"))
-    keyed = entries.withColumn("_all", F.array(*[F.struct(F.lit(level).alias("level"), prefix(F.col(path_key), level).alias("leaf")) for level in range(MAX_LEVEL + 1)]))
-    every = keyed.withColumn("_at", F.explode("_all")).drop("_all").withColumn("level", F.col("_at.level")).withColumn("leaf", F.col("_at.leaf")).drop("_at")
-    return every.join(leaves, ["level", "leaf"], "left_semi")
+    deep = entries.select(prefix(F.col(path_key), MAX_LEVEL).alias("_deep")).distinct()
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftrightunsigned("_deep", BITS * (MAX_LEVEL - level)).alias("leaf")) for level in range(MAX_LEVEL + 1)])
+    found = deep.select("_deep", F.explode(levels).alias("_at")).select("_deep", "_at.level", "_at.leaf").join(leaves, ["level", "leaf"], "left_semi")
+    return entries.withColumn("_deep", prefix(F.col(path_key), MAX_LEVEL)).join(found, "_deep").drop("_deep")
 
 
-def node_refs(entries: DataFrame, key: str = "file_id", value: str = "ref", path_key: str = "path_key") -> DataFrame:
-    """level, node, ref: content hashes of all nodes. A leaf's is of its sorted entries (at most LEAF_ENTRIES, deepest leaves aside), an internal node's of its children."""
-    at = placed(entries, path_key)
-    out = at.groupBy("level", F.col("leaf").alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, value))), "\n"), 256).alias("ref"))
+def node_refs(entries: DataFrame, key: str = "file_id", value: str = "ref", path_key: str = "path_key", by: Sequence[str] = ()) -> DataFrame:
+    """level, node, ref: content hashes of all nodes. A leaf's is of its sorted entries (at most LEAF_ENTRIES, deepest leaves aside), an internal node's of its children.
+
+    by: columns that tell versions apart, which have the same keys; they are hashed in one pass, and the result has them too.
+    """
+    first = entries.dropDuplicates([path_key, key]) if by else entries
+    at = entries.join(placed(first.select(path_key, key), path_key), [path_key, key])
+    out = at.groupBy(*by, "level", F.col("leaf").alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, value))), "\n"), 256).alias("ref"))
     out = materialise(out)
     levels = [out]
     now = out.where(f"level = {MAX_LEVEL}")
     for level in range(MAX_LEVEL, 0, -1):
-        inner = now.groupBy(F.shiftrightunsigned("node", BITS).alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "ref"))).alias("children"))  # 32 at most
-        inner = inner.select(F.lit(level - 1).alias("level"), "node", F.sha2(F.array_join(F.transform("children", lambda c: c["ref"]), "\n"), 256).alias("ref"))
+        inner = now.groupBy(*by, F.shiftrightunsigned("node", BITS).alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "ref"))).alias("children"))  # 32 at most
+        inner = inner.select(*by, F.lit(level - 1).alias("level"), "node", F.sha2(F.array_join(F.transform("children", lambda c: c["ref"]), "\n"), 256).alias("ref"))
         inner = materialise(inner)
         levels.append(inner)
         now = inner.union(out.where(F.col("level") == level - 1))

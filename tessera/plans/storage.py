@@ -269,7 +269,8 @@ def structural_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that are new when all French documents change."""
     before = entries(spark, sf_dir)
     after = before.withColumn("ref", F.when(F.col("lang") == "fr", F.sha2(F.concat("ref", F.lit("x")), 256)).otherwise(F.col("ref")))
-    return index.rewritten(index.node_refs(before), index.node_refs(after))
+    both = index.node_refs(before.withColumn("version", F.lit(0)).union(after.withColumn("version", F.lit(1))), by=["version"])
+    return index.rewritten(both.where("version = 0"), both.where("version = 1"))
 
 
 @query(
