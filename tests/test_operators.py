@@ -332,3 +332,22 @@ def test_all_snapshots_newest_first_has_every_snapshot(spark, tmp_path):
     events = duckdb.read_parquet(f"{tmp_path}/events.parquet/*.parquet")  # noqa: F841
     got = sorted((r["ref"], r["position"]) for r in QUERIES["all_snapshots_newest_first"](spark, str(tmp_path)).collect())
     assert len(got) == 1000 and got == sorted(duckdb.sql(SQL["all_snapshots_newest_first"]).fetchall())
+
+
+def test_repack_moves_live_objects_and_drops_dead_packs(spark):
+    packs = spark.createDataFrame([("p1", bytearray(b"aaaaDDDDDDDDDDDD")), ("p2", bytearray(b"bbbbcc")), ("p3", bytearray(b"EEEE")), ("p4", bytearray(b"XXXXXXXXdd"))], "pack_ref string, data binary")
+    catalog = spark.createDataFrame([("a", "p1", 0, 4), ("b", "p2", 0, 4), ("c", "p2", 4, 2), ("d", "p4", 8, 2)], "key string, pack_ref string, offset long, length long")
+    after, left = storage.repack(catalog, packs, pack_size=8)
+    read = {r["key"]: bytes(r["data"]) for r in storage.read_packed(catalog.select("key"), after, left).collect()}
+    assert read == {"a": b"aaaa", "b": b"bbbb", "c": b"cc", "d": b"dd"}
+    kept = {r["pack_ref"]: bytes(r["data"]) for r in left.collect()}
+    assert kept.pop("p2") == b"bbbbcc" and list(kept.values()) == [b"aaaadd"] and all(len(x) == 64 for x in kept)
+
+
+def test_values_given_for_a_run_go_before_the_profile(spark):
+    profiles = spark.createDataFrame([("p", "local:/a", "s", "x"), ("q", "", None, None), ("r", "local:/c", "gone", None)], "name string, source string, store string, auth_ref string")
+    stores = spark.createDataFrame([("s", "s3:bucket")], "name string, uri string")
+    auth = spark.createDataFrame([("y", "google")], "name string, provider string")
+    run = lambda given: {r["name"]: (r["source"], r["store_uri"], r["provider"], r["error"]) for r in dashboard.effective_profiles(profiles, stores, auth, given).collect()}
+    assert run(None) == {"p": ("local:/a", "s3:bucket", "", "unknown auth"), "q": ("", "", "", "empty source"), "r": ("local:/c", "", "", "unknown store")}
+    assert run({"source": "local:/z", "auth_ref": "y"})["p"] == ("local:/z", "s3:bucket", "google", "")

@@ -95,3 +95,19 @@ def test_change_stream_resumes_and_ignores_repeated_batches(spark, tmp_path):
     state.apply(one.withColumn("value", F.lit(-1.0)), state.version())  # the batch is done
     want = versions.apply_changes(one.select("key", "value").limit(0), one.union(two), "key", ["seq"])
     assert sorted(map(tuple, want.collect())) == sorted((r["key"], r["value"]) for r in state.live().collect())
+
+
+def test_a_batch_writes_only_the_buckets_that_it_touches(spark, tmp_path):
+    state = ChangeState(spark, str(tmp_path / "state"), "key", ["seq"], buckets=8)
+    rows = lambda keys, seq, op="upsert": spark.createDataFrame([(k, seq, op, float(seq)) for k in keys], "key long, seq long, op string, value double")
+    state.apply(rows(range(100), 1), 0)
+    first = state._manifest(0)
+    assert sorted(first) == list(range(8))
+    for number in range(1, 8):
+        state.apply(rows([3], number + 1), number)
+    at = state._manifest(state.version())
+    assert sum(v == 0 for v in at.values()) == 7 and state.live().count() == 100
+    assert {r["value"] for r in state.live().where("key = 3").collect()} == {8.0}
+    assert sorted(int(p.name) for p in (tmp_path / "state/done").iterdir() if p.name.isdigit()) == [4, 5, 6, 7]
+    state.apply(rows([3], 9, "delete"), 8)
+    assert state.live().count() == 99 and state.changes().count() == 100
