@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, fingerprints, language_id, quality, url_filters
 
@@ -305,3 +306,50 @@ def test_pages_use_markup_and_address(spark):
     frame = spark.createDataFrame([p[:3] for p in pages] + [(500, "http://www.new.de/x", '<html lang=de><p>ein</p></html>'), (501, None, None)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in language_id.identify_pages(frame).collect()}
     assert all(got[i]["lang"] == x for i, _, _, x in pages) and got[500]["lang"] == "de" and not got[501]["accepted"]
+
+
+def test_fused_posteriors_equal_brute_force(spark):
+    """Every piece of evidence by hand: likelihoods, declared language, suffix, and host priors that borrow from domain and all rows."""
+    rng = random.Random(12)
+    pages = []
+    for i in range(150):
+        lang = rng.choice(list(WORDS))
+        said = rng.choice([lang, lang, "en", None])
+        url = rng.choice([f"http://www.a{i % 3}.{lang}/x", f"http://b.c{i % 2}.com/{i}", f"http://single{i % 2}/y", None])
+        body = " ".join(rng.choice(WORDS[lang]) for _ in range(rng.choice([0, 2, 5, 40])))
+        pages.append((i, url, (f'<html lang="{said}">' if said else "<html>") + f"<p>{body}</p></html>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    base = frame.select(language_id.visible_text(F.col("html")).alias("text"), language_id.markup_language(F.col("html")).alias("declared"))
+    model = language_id.fit_text(base)
+    seen = []
+    for i, url, html in pages:
+        text = html.split("<p>")[1].split("</p>")[0]
+        grams, _ = language_id._letters([f"  {text}  ".encode()])
+        used = grams[grams >= 0]
+        logs = model.log_p[used].astype(float).sum(axis=0) / (1 + len(used) / language_id.INDEPENDENT)
+        prior = np.array([0.0] * (len(model.languages) - 1) + [np.log(language_id.UNKNOWN_PRIOR)])
+        told = html.split('lang="')[1][:2] if 'lang="' in html else None
+        host = url.split("://")[1].split("/")[0] if url else None
+        labels = host.split(".") if host else []
+        seen.append((i, logs, int((logs + prior).argmax()) if len(used) else None, told, labels[-1] if len(labels) > 1 else None, host, ".".join(labels[-2:]) if host else None))
+    n = len(model.languages)
+    count = lambda at, value: np.array([sum(r[2] == k and r[at] == value for r in seen) for k in range(n)], float)
+    total = np.array([sum(r[2] == k for r in seen) for k in range(n)], float)
+    share = (total + language_id.EVIDENCE_COUNT) / (total + language_id.EVIDENCE_COUNT).sum()
+    got = {r["page_id"]: r for r in language_id.identify_pages(frame, model).collect()}
+    assert len(got) == len(pages)
+    for i, logs, _, told, suffix, host, domain in seen:
+        score = logs.copy()
+        for at, value in ((3, told), (4, suffix)):
+            c = count(at, value)
+            if value is not None and c.sum():
+                score += np.log((c + language_id.EVIDENCE_COUNT) / (total + 20 * language_id.EVIDENCE_COUNT))
+        c, d = count(5, host), count(6, domain)
+        if host is not None and c.sum():
+            above = (d + language_id.PARENT_COUNT * share) / (d.sum() + language_id.PARENT_COUNT)
+            score += np.log((c + language_id.PARENT_COUNT * above) / (c.sum() + language_id.PARENT_COUNT))
+        else:
+            score += np.log(share)
+        posterior = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        assert np.isclose(got[i]["posterior"], posterior.max(), atol=1e-4), i
+        assert got[i]["lang"] == model.languages[int(posterior.argmax())] or np.isclose(*sorted(posterior)[-2:], atol=1e-4)
