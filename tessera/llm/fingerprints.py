@@ -121,7 +121,10 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = both.select("doc_id", "h", "rows", F.col("text").alias("a"), F.expr("concat(substring(text, 1, n - n div 2), head)").alias("b"), "n")
     keys = ["doc_id", "h", "rows"]  # rows: 1, or less than 0 for those that are followed by their like
     facts = both.select(*keys, F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("b").cast("binary"), 256).alias("edited_sha256"))
-    known = materialise(facts.join(signatures(both, keys, ["a", "b"], samples), keys, "left"))
+    prints = signatures(both, keys, ["a", "b"], samples).withColumnsRenamed({"doc_id": "of_id", "h": "of_h", "rows": "of_rows"})
+    # The third key is compared, not joined on: both sides lie by the first two already.
+    known = facts.join(prints, (F.col("doc_id") == F.col("of_id")) & (F.col("h") == F.col("of_h")) & (F.col("rows") - F.col("of_rows") == 0), "left")
+    known = materialise(known.drop("of_id", "of_h", "of_rows"))
     next_print = known.where("rows = 1").select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("a").alias("c"))
     joined = known.join(order.select("doc_id", "h", "next_id", "next_h"), ["doc_id", "h"])
     to_like = F.col("rows") < 0
