@@ -94,7 +94,7 @@ def _hash_parts(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     end = np.repeat(first_word[1:], shingles) if short else None
     sums = np.zeros(len(first), np.uint64)
     for j in range(WORDS):
-        placed = mix64(word + _STEP * np.uint64(j + 1))
+        placed = mix64(word + np.uint64(int(_STEP) * (j + 1) % (1 << 64)))
         if short:
             inside = first + j < end
             sums[inside] += placed[first[inside] + j]
