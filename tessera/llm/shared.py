@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.lineage import materialise, shared_dir
 
-__all__ = ["delete_folder", "drop_tables", "encoded", "materialise", "pieces", "running_total", "shared_dir", "sided", "spread", "table", "tables_written", "text_or_empty", "worker_cache", "written_table"]
+__all__ = ["delete_folder", "drop_tables", "encoded", "materialise", "pieces", "release", "running_total", "shared_dir", "sided", "spread", "table", "tables_written", "text_or_empty", "worker_cache", "written_table"]
 
 #: Rows of numbers that are broadcast at most.
 BROADCAST_ROWS = 200_000
@@ -101,6 +101,15 @@ def drop_tables(spark: SparkSession, after: int = 0) -> None:
     _written[:] = [x for x in _written if x not in own]
 
 
+def release(spark: SparkSession) -> None:
+    """Frees what nothing on the driver refers to any more: plans that Python holds in cycles, then the JVM's heap and classes, and checkpoints with them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _release()
+
+
 def sided(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, computed once, as the small side of a join: broadcast if it has at most so many rows, else joined by a shuffle. For narrow rows only."""
     df = materialise(df)

@@ -81,6 +81,14 @@ def test_packing_asks_with_whole_texts(spark, tmp_path):
     assert order[:2] == [0, 2]
 
 
+def test_stages_free_the_driver(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "release", lambda s: calls.append(s))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, fixture(spark)[1].limit(0), "")
+        assert calls == [spark] * (n + 1)
+
+
 def test_documents_without_an_id_and_with_one_id_are_judged_each(spark):
     long = lambda x: " ".join(f"{x}{i}" for i in range(40))
     rows = [(None, long("a")), (None, long("b")), (5, long("a")), (7, long("c")), (7, long("b")), (7, long("c")), (8, None)]
