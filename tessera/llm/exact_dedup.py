@@ -1,6 +1,6 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Texts are equal when they are identical without ASCII white space. The hash of that form is the key. Owner tasks get
+Texts are equal when they are identical without ASCII white space. The first 64 bits of that form's SHA-256 are the key. Owner tasks get
 ranges of keys (their leading bits) in key order and load the index in bulk: a bucket that holds more than its
 capacity splits on the next bit of its keys, and where a bucket needs more bits than the owner's directory has, the
 directory doubles. Texts with one key form a chain and are told apart by comparing bytes.
@@ -17,6 +17,7 @@ adaptive execution splits them where a group is large.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import PIECE_BYTES, pieces, sided, table, text_or_empty, written_table
+from tessera.llm.shared import PIECE_BYTES, encoded, pieces, sided, table, text_or_empty, written_table
 
 #: Entries of a bucket before it splits.
 BUCKET_ENTRIES = 4096
@@ -34,16 +35,34 @@ OWNER_ROWS, OWNER_BITS = 1 << 18, 10
 #: Bits of an owner's directory at most; a bucket that would need more keeps all its entries.
 MAX_DIRECTORY_BITS = 20
 
-_WHITE = " \t\n\x0b\x0c\r"
+_WHITE = b" \t\n\x0b\x0c\r"
 _LOCAL = "key long, digest string, form string, best_chars long, best_id long, copies long"
 _LOADED = "owner int, bits int, slot long, slots long, bucket long, key long, digest string, keep_id long, group_size long"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, n (code points), form (text without white space), digest, key; texts that are null count as empty."""
+def _keyed(forms: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            squeezed = [x.translate(None, _WHITE) for x in encoded(batch.column("text"))]
+            hashed = [hashlib.sha256(x) for x in squeezed]
+            columns = {"doc_id": batch.column("doc_id"), "n": batch.column("n"), "form": pa.array(squeezed if forms else [], pa.string()), "digest": pa.array([x.hexdigest() for x in hashed], pa.string()), "key": pa.array([int.from_bytes(x.digest()[:8], "big", signed=True) for x in hashed], pa.int64())}
+            yield pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if forms or k != "form"})
+
+    return run
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n (code points), text; texts that are null count as empty."""
     text = text_or_empty()
-    form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), F.translate(text, _WHITE, "").alias("form"))
-    return form.select("*", F.sha2(F.col("form").cast("binary"), 256).alias("digest"), F.xxhash64("form").alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), F.make_valid_utf8(text).alias("text"))
+
+
+def keyed(docs: DataFrame, forms: bool = True) -> DataFrame:
+    """doc_id, n, form (text without white space; not with forms=False), digest, key.
+
+    Bytes are deleted and hashed in Python: translate() and replace() leave several times the texts as garbage on the heap.
+    """
+    return texts(docs).mapInArrow(_keyed(forms), f"doc_id long, n long,{' form string,' * forms} digest string, key long")
 
 
 def _better(n: int, doc_id: int | None, best: list) -> bool:
@@ -165,21 +184,23 @@ class Index:
         return found.join(self.entries, ["bucket", "key", "digest"], how).drop("bucket")
 
     def save(self, path: str) -> None:
-        """Writes the index to a folder."""
+        """Writes the index to a folder, under the name of its keys, so that load() never probes an index of other keys."""
         for name in ("owners", "directory", "entries"):
-            getattr(self, name).write.parquet(f"{path}/{self.owner_bits}/{name}")
+            getattr(self, name).write.parquet(f"{path}/sha256-{self.owner_bits}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, owner_bits: int = OWNER_BITS) -> Index:
-        return Index(owner_bits, *(spark.read.parquet(f"{path}/{owner_bits}/{name}") for name in ("owners", "directory", "entries")))
+        return Index(owner_bits, *(spark.read.parquet(f"{path}/sha256-{owner_bits}/{name}") for name in ("owners", "directory", "entries")))
 
 
 def build_index(rows: DataFrame, bucket_entries: int = BUCKET_ENTRIES, owner_bits: int = OWNER_BITS) -> Index:
-    """The index of keyed() rows, one entry per distinct text."""
-    folded = rows.mapInArrow(_fold, _LOCAL)
+    """The index of keyed() rows, or of texts(), which are keyed and folded in one pass; one entry per distinct text."""
+    key = _keyed(forms=True)
+    folded = rows.mapInArrow(_fold if "form" in rows.columns else lambda batches: _fold(key(batches)), _LOCAL)
     owner = F.shiftrightunsigned("key", 64 - owner_bits)
     ordered = folded.repartition(owner).sortWithinPartitions(owner, F.shiftrightunsigned("key", 1), F.col("key").bitwiseAND(1))
-    loaded = written_table(ordered.mapInArrow(_own(bucket_entries, owner_bits), _LOADED), "buckets")
+    # Entries are a small part of the texts: gathered by bucket, they take fewer files than there are owner tasks.
+    loaded = written_table(ordered.mapInArrow(_own(bucket_entries, owner_bits), _LOADED).hint("rebalance", F.col("bucket")), "buckets")
     owners = loaded.select("owner", "bits").distinct()
     directory = loaded.select("owner", "slot", "slots", "bucket").distinct().select("owner", "bucket", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("slots") - 1)).alias("slot"))
     return Index(owner_bits, written_table(owners, "owners"), written_table(directory.select("owner", "slot", "bucket"), "directory"), loaded.where("key is not null").select("bucket", "key", "digest", "keep_id", "group_size"))
@@ -193,9 +214,8 @@ def exact_duplicates(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES, owne
     rows of the id that stays are marked. Texts of any length are whole. owner_bits: from the number of rows, unless
     given. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = keyed(docs)
     bits = owner_bits or max(OWNER_BITS, math.ceil(math.log2(max(docs.count(), 1) / OWNER_ROWS)))
-    found = build_index(rows, bucket_entries, bits).probe(rows.select("doc_id", "key", "digest"))
+    found = build_index(texts(docs), bucket_entries, bits).probe(keyed(docs, forms=False).select("doc_id", "key", "digest"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

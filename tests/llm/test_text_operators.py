@@ -70,6 +70,26 @@ def test_rows_are_found_through_directory_and_buckets(spark, capacity, tmp_path)
     assert found == {900: sum(t.replace(" ", "") == rows[7][1].replace(" ", "") for _, t in rows), 901: None}
 
 
+def test_entries_take_fewer_files_than_there_are_owner_tasks(spark):
+    rng = random.Random(7)
+    rows = [(i, "%032768x" % rng.getrandbits(4 << 15)) for i in range(300)]
+    entries = exact_dedup.build_index(exact_dedup.texts(spark.createDataFrame(rows, "doc_id long, text string"))).entries
+    assert len(entries.inputFiles()) == 1 and entries.count() == 300
+
+
+def test_texts_are_keyed_the_same_on_their_way_to_owners_and_probes(spark):
+    rows = [(1, " a\x0b\x0cb\r"), (2, "\u3000\u00a0\x85"), (3, "\U0001f600 \n"), (4, None), (5, "\x00\x1f"), (6, "ab")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in exact_dedup.keyed(frame).collect():
+        form = "".join(c for c in (dict(rows)[r["doc_id"]] or "") if c not in " \t\n\x0b\x0c\r")
+        digest = hashlib.sha256(form.encode()).hexdigest()
+        assert (r["form"], r["digest"], r["key"] & (1 << 64) - 1, r["n"]) == (form, digest, int(digest[:16], 16), len(dict(rows)[r["doc_id"]] or ""))
+    columns = ["doc_id", "key", "digest"]
+    assert sorted(exact_dedup.keyed(frame, forms=False).select(columns).collect()) == sorted(exact_dedup.keyed(frame).select(columns).collect())
+    entries = [sorted(exact_dedup.build_index(x).entries.collect()) for x in (exact_dedup.texts(frame), exact_dedup.keyed(frame))]
+    assert entries[0] == entries[1] and len(entries[0]) == 5
+
+
 @pytest.mark.parametrize("capacity", [1, 3, 50])
 def test_buckets_split_on_prefix_bits(capacity):
     rng = random.Random(capacity)
