@@ -46,6 +46,7 @@ def _keyed(forms: bool):
             squeezed = [x.translate(None, _WHITE) for x in encoded(batch.column("text"))]
             hashed = [hashlib.sha256(x) for x in squeezed]
             columns = {"doc_id": batch.column("doc_id"), "n": batch.column("n"), "form": pa.array(squeezed if forms else [], pa.string()), "digest": pa.array([x.hexdigest() for x in hashed], pa.string()), "key": pa.array([int.from_bytes(x.digest()[:8], "big", signed=True) for x in hashed], pa.int64())}
+            del squeezed, hashed  # a long text has few copies while the batch is read
             yield pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if forms or k != "form"})
 
     return run
